@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 50_000
 ARROW_ROWS = 1000
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -66,11 +66,12 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) for runs of texts of at most `most` bytes, or one text."""
+    """(first row, end row, bytes, offsets) for runs of at most SLICE_ROWS texts of at most `most` bytes, or one text."""
     buf, at = flat(texts)
     i, n = 0, len(at) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1)
+        j = min(j, n, i + SLICE_ROWS)
         yield i, j, buf[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
 
