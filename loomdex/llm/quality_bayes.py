@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -170,8 +169,9 @@ def _strength(groups: DataFrame, head: str, rate: float) -> float:
     return float(min(max(rate * (1 - rate) / between - 1, 5.0), 10_000.0))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
-    """row (a struct of the columns of docs), doc_id, text, host, path, llr_low, llr_toxic, host_low, path_low, host_toxic, path_toxic, p_low, p_toxic and kept.
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, carry: list[str] | None = None) -> DataFrame:
+    """row (a struct of the columns to carry, by default all of docs), host, path, llr_low, llr_toxic, host_low, path_low,
+    host_toxic, path_toxic, p_low, p_toxic and kept.
 
     Rows stay as many as they are. Null and empty texts have shape evidence only; a null host or path is a group of its
     own. Without labels every rate is 0.5 with no evidence, and nothing is rejected.
@@ -179,41 +179,50 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column) ->
     spark = docs.sparkSession
     evidence = fit(docs, labels)
     sent = spark.sparkContext.broadcast(evidence)
+    site = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in ((host, "host"), (path, "path"))]
 
-    @F.pandas_udf("low double, toxic double")
-    def llr(texts: pd.Series) -> pd.DataFrame:
-        parts = [sent.value.of(buf, at) for _, _, buf, at in tn.slices(pa.array(texts, pa.string()))]
-        got = np.concatenate(parts) if parts else np.zeros((0, 2))
-        return pd.DataFrame({h: got[:, k] for k, h in enumerate(HEADS)})
+    def scored(columns: list[str]) -> DataFrame:
+        """Evidence beside the columns, in one pass that holds no rows back."""
+        given = docs.select(F.struct(*columns).alias("row"), *site, "text")
+        schema = given.drop("text").schema
+        for h in HEADS:
+            schema = schema.add(f"llr_{h}", "double")
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i, j, buf, at in tn.slices(b.column(3)):
+                    got = sent.value.of(buf, at)
+                    yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(3)), *(pa.array(got[:, k]) for k in range(len(HEADS)))], names=schema.names)
+
+        return given.mapInArrow(add, schema)
 
     rates = dict(zip(HEADS, evidence.rate.tolist(), strict=True))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), llr("text").alias("_e"))
-    soft = {h: 1 / (1 + F.exp(-(F.col(f"_e.{h}") + _logit(F.lit(rates[h]))))) for h in HEADS}
-    paths = rows.select("host", "path", *(soft[h].alias(f"s_{h}") for h in HEADS)).groupBy("host", "path").agg(F.count("*").alias("n"), *(F.sum(f"s_{h}").alias(f"s_{h}") for h in HEADS))
+    soft = {h: 1 / (1 + F.exp(-(F.col(f"llr_{h}") + _logit(F.lit(rates[h]))))) for h in HEADS}
+    paths = scored([docs.columns[0]]).groupBy("host", "path").agg(F.count("*").alias("n"), *(F.sum(soft[h]).alias(f"s_{h}") for h in HEADS))
     paths = written(paths)
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), *(F.sum(f"s_{h}").alias(f"s_{h}") for h in HEADS))
     shrunk = lambda h, to, m: (F.col(f"s_{h}") + m * to) / (F.col("n") + m)
-    hosts = hosts.select("host", *(shrunk(h, F.lit(rates[h]), _strength(hosts, h, rates[h])).alias(f"host_{h}") for h in HEADS))
-    strength = {h: _strength(paths, h, rates[h]) for h in HEADS}
-    sites = paths.join(hosts, "host").select("host", "path", *(f"host_{h}" for h in HEADS), *(shrunk(h, F.col(f"host_{h}"), strength[h]).alias(f"path_{h}") for h in HEADS))
+    strength = {h: (_strength(hosts, h, rates[h]), _strength(paths, h, rates[h])) for h in HEADS}
+    hosts = hosts.select("host", *(shrunk(h, F.lit(rates[h]), strength[h][0]).alias(f"host_{h}") for h in HEADS))
+    sites = paths.join(hosts, "host").select("host", "path", *(f"host_{h}" for h in HEADS), *(shrunk(h, F.col(f"host_{h}"), strength[h][1]).alias(f"path_{h}") for h in HEADS))
     sites = sites.withColumnsRenamed({"host": "_h", "path": "_p"})
     small = paths.limit(SENT_GROUPS + 1).count() <= SENT_GROUPS
     on = (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p"))
+    rows = scored(docs.columns if carry is None else carry)
     if small:
         rows = rows.join(F.broadcast(sites), on)
     else:  # a hot site is dealt over salts
         salts = 64
-        rows = rows.withColumn("_s", F.pmod(F.xxhash64("text"), F.lit(salts)))
+        rows = rows.withColumn("_s", F.pmod(F.xxhash64("llr_low", "llr_toxic"), F.lit(salts)))
         rows = rows.join(sites.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), on & (F.col("_s") == F.col("_t"))).drop("_s", "_t")
     clip = lambda c: F.greatest(F.least(c, F.lit(1 - 1e-6)), F.lit(1e-6))
-    rows = rows.withColumns({f"llr_{h}": F.col(f"_e.{h}") for h in HEADS})
     rows = rows.withColumns({f"p_{h}": 1 / (1 + F.exp(-(F.col(f"llr_{h}") + _logit(clip(F.col(f"path_{h}")))))) for h in HEADS})
-    return rows.withColumn("kept", (F.col("p_low") <= REJECT) & (F.col("p_toxic") <= REJECT)).drop("_e", "_h", "_p")
+    return rows.withColumn("kept", (F.col("p_low") <= REJECT) & (F.col("p_toxic") <= REJECT)).drop("_h", "_p")
 
 
-def by_source(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def by_source(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """classify() with a document's source as host and its source and language as path."""
-    return classify(docs, labels, F.col("source"), F.concat_ws("/", F.col("source"), F.col("lang")))
+    return classify(docs, labels, F.col("source"), F.concat_ws("/", F.col("source"), F.col("lang")), carry)
 
 
-OUTPUT = ("doc_id", "host", "path", "llr_low", "llr_toxic", "host_low", "path_low", "host_toxic", "path_toxic", "p_low", "p_toxic", "kept")
+OUTPUT = ("row.doc_id", "host", "path", "llr_low", "llr_toxic", "host_low", "path_low", "host_toxic", "path_toxic", "p_low", "p_toxic", "kept")

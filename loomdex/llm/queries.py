@@ -29,7 +29,7 @@ def op3_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_hierarchical_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_bayes.by_source(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select(*quality_bayes.OUTPUT)
+    return quality_bayes.by_source(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ["doc_id"]).select(*quality_bayes.OUTPUT)
 
 
 def op5_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
