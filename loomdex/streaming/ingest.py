@@ -37,7 +37,7 @@ def ingest(spark: SparkSession, source: str, as_of: datetime, sink: Callable[[Da
 
 def status_counts(events: DataFrame, watermark: str = "1 hour", window: str = "1 day") -> DataFrame:
     """Events per window and type; late ones beyond the watermark are dropped."""
-    return events.withWatermark("ts", watermark).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"))
 
 
 def rate_limited(arrivals: DataFrame, gap: float) -> DataFrame:
