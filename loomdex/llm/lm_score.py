@@ -218,10 +218,12 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         out = []
         for kind, (keys, values) in found.items():
             key, count = _merge(keys, values)
+            if not len(key):
+                continue
             bucket = (tn.mix(key) % _U(n)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             key, count, bucket = key[order], count[order], bucket[order]
-            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(key) else []
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             out += [(kind, int(bucket[a]), chunk, _blob(key[a:b]), _blob(count[a:b].astype(np.uint32))) for a, b in zip(cut, np.append(cut[1:], len(key)), strict=True)]
         return _table(_REQ, out)
 
