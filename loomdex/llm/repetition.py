@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 
 from . import textnum as tn
 
-#: n-gram length: largest share of a text's word characters inside n-grams of that length that occur twice or more.
-MAX_COVERED = {3: 0.60, 5: 0.45, 8: 0.35}
+#: Shorter n-grams than 4 recur in any long text. n-gram length: largest share of a text's word characters inside n-grams of that length that occur twice or more.
+MAX_COVERED = {4: 0.60, 5: 0.45, 8: 0.35}
 #: Largest share of word characters inside lines equal to an earlier line.
 MAX_LINE_COVERED = 0.30
 SYMBOLS = np.zeros(256, bool)
