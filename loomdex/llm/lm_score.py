@@ -27,7 +27,7 @@ from .store import written
 
 #: Context bytes. A key holds them and the byte itself, and with a text's number in its slice it fits 64 bits.
 DEPTH = 5
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES, SLICE_BYTES = 16 << 20, 1 << 20
 END = 255  # no byte of UTF-8
 WORD, GRAM = 0, 1
 _U = np.uint64
@@ -205,7 +205,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         chunk = t.column("chunk")[0].as_py()
         train = (~t.column("held_out").to_numpy()).astype(float)
         found: dict[int, tuple[list, list]] = {WORD: ([], []), GRAM: ([], [])}
-        for i, j, buf, at in tn.slices(t.column("text")):
+        for i, j, buf, at in tn.slices(t.column("text"), SLICE_BYTES):
             low = tn.LOWER[buf]
             w = tn.words(low, at)
             for kind, (key, doc) in ((WORD, (tn.hashes(low, w.start, w.end), w.doc)), (GRAM, ngrams(low, at))):
@@ -296,7 +296,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             tables[kind] = _merge([_keys(have.column("keys")[i].as_py()) for i in mine], [_floats(have.column("values")[i].as_py()) for i in mine])
         ids, held = t.column("doc_id").combine_chunks(), t.column("held_out").combine_chunks()
         out = []
-        for i, j, buf, at in tn.slices(t.column("text")):
+        for i, j, buf, at in tn.slices(t.column("text"), SLICE_BYTES):
             low, m = tn.LOWER[buf], j - i
             w = tn.words(low, at)
             key, value = tables[WORD]
