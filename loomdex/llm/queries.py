@@ -8,8 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontam, golay_simhash, lang_id, licenses, lm_score, merkle, quality_bayes, repetition, secrets
 
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-VOCABULARY = os.path.join(TOKENIZERS, "byte_bpe_50k.json")
+
+
+def _vocabulary(name: str) -> str:
+    """Path of a public vocabulary file: in the folder that TOKENIZER_DIR names, else where public_tokenizers has it."""
+    if folder := os.environ.get("TOKENIZER_DIR"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+VOCABULARY = _vocabulary("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
