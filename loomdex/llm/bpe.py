@@ -59,7 +59,9 @@ class Bpe:
         self.added = dict(added)
         self.split_added = regex.compile("(" + "|".join(regex.escape(t) for t, _ in sorted(added, key=lambda x: -len(x[0]))) + ")") if added else None
         self.pattern = regex.compile(PATTERN)
-        self.cache: dict[str, tuple[str, int, bytes]] = {}
+        self.name_of = {i: str(i) for i in self.bytes_of}
+        self.fixed = {(t,): (str(i), 1, t.encode()) for t, i in added}
+        self.cache: dict = dict(self.fixed)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.wide + right
@@ -79,34 +81,39 @@ class Bpe:
         size = np.array([len(pieces[k]) for k in short])
         sym = self.base[np.frombuffer(b"".join(pieces[k] for k in short), np.uint8)]
         word = np.repeat(np.arange(len(short)), size)
+        rank = self._ranks(sym, word, np.arange(len(sym)))
         while len(sym):
-            rank = np.full(len(sym), NONE)
-            same = np.flatnonzero(word[1:] == word[:-1])
-            rank[same] = self.rank(sym[same], sym[same + 1])
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             best = np.minimum.reduceat(rank, first)
             count = np.diff(np.append(first, len(sym)))
             done = best == NONE
             if done.any():
-                for f, c in zip(first[done], count[done], strict=True):
+                for f, c in zip(first[done].tolist(), count[done].tolist(), strict=True):
                     out[short[word[f]]] = sym[f : f + c].tolist()
                 keep = np.repeat(~done, count)
                 sym, word, rank = sym[keep], word[keep], rank[keep]
                 best, count = best[~done], count[~done]
                 if not len(sym):
                     break
-            hit = rank == np.repeat(best, count)
-            at = np.flatnonzero(hit)
+            at = np.flatnonzero(rank == np.repeat(best, count))
             if len(at) > 1 and (np.diff(at) == 1).any():  # runs such as aaaa: every second place
-                run = np.cumsum(np.concatenate([[True], np.diff(at) != 1])) - 1
-                begin = at[np.concatenate([[True], np.diff(at) != 1])]
-                at = at[(at - begin[run]) % 2 == 0]
+                fresh = np.concatenate([[True], np.diff(at) != 1])
+                at = at[(at - at[fresh][np.cumsum(fresh) - 1]) % 2 == 0]
             sym[at] = self.made[rank[at]]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
-            sym, word = sym[keep], word[keep]
+            at -= np.arange(len(at))  # one symbol has gone for each merge before
+            sym, word, rank = sym[keep], word[keep], rank[keep]
+            near = np.concatenate([at, at[at > 0] - 1])
+            rank[near] = self._ranks(sym, word, near)
         return out
 
+    def _ranks(self, sym: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rank of the pair that starts at each place, NONE at a word's last symbol."""
+        right = np.minimum(at + 1, len(sym) - 1)
+        inside = (word[right] == word[at]) & (right > at)
+        return np.where(inside, self.rank(sym[at], sym[right]), NONE)
+
     def _merge_long(self, piece: bytes) -> list[int]:
         """The same merges for one very long pre-token, by a heap of (rank, place)."""
         sym = self.base[np.frombuffer(piece, np.uint8)]
@@ -130,28 +137,27 @@ class Bpe:
         return [x for x in ids if x >= 0]
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+        name, raw = self.name_of, self.bytes_of
         for w, ids in zip(new, self.merge([w.encode() for w in new]), strict=True):
-            self.cache[w] = (",".join(map(str, ids)), len(ids), b"".join(self.bytes_of[i] for i in ids))
+            self.cache[w] = (",".join([name[i] for i in ids]), len(ids), b"".join([raw[i] for i in ids]))
 
     def encode_many(self, texts: list[str]) -> list[list[tuple[str, int, bytes]]]:
         """For each text its pre-tokens' (ids joined by commas, number of ids, bytes that the ids decode to)."""
-        pieces: list[list[str]] = []
+        pieces: list[list] = []
         for t in texts:
             if self.split_added is None or not any(a in t for a in self.added):
                 pieces.append(self.pattern.findall(t))
-                continue
-            pieces.append([x for part in self.split_added.split(t) for x in ([(part,)] if part in self.added else self.pattern.findall(part))])
-        new = {x for p in pieces for x in set(p) if isinstance(x, str)}
-        new -= self.cache.keys()
-        if new and len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = {x for p in pieces for x in set(p) if isinstance(x, str)}
+            else:  # an added token stands as a tuple, apart from the same text in a pre-token
+                pieces.append([x for part in self.split_added.split(t) for x in ([(part,)] if part in self.added else self.pattern.findall(part))])
+        every = set().union(*pieces)
+        new = [x for x in every if x not in self.cache]
+        if len(self.cache) + len(new) > CACHE_WORDS:
+            self.cache = dict(self.fixed)
+            new = [x for x in every if x not in self.cache]
         if new:
-            self._learn(list(new))
-        special = {(t,): (str(i), 1, t.encode()) for t, i in self.added.items()}
-        return [[self.cache[x] if isinstance(x, str) else special[x] for x in p] for p in pieces]
+            self._learn(new)
+        get = self.cache.__getitem__
+        return [list(map(get, p)) for p in pieces]
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for ids, _, _ in self.encode_many([text])[0] for i in ids.split(",")]
