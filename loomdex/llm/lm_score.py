@@ -247,7 +247,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         for b in batches:
             for r in range(b.num_rows):
                 key, count = _keys(b.column(1)[r].as_py()), _floats(b.column(2)[r].as_py())
-                part = _group_of(key, n)
+                part = _group_of(key, 4 * n)  # a group is expanded eightfold and more, so groups are small
                 out = [(int(p), b.column(0)[r].as_py(), _blob(key[part == p]), _blob(count[part == p])) for p in np.unique(part)]
                 yield from _table(part_schema, out).to_batches()
 
