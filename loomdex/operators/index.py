@@ -40,6 +40,15 @@ def term_statistics(token_rows: DataFrame, docs: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(size)).select("term", "doc_frequency", scores.idf(F.col("n"), F.col("doc_frequency")).alias("idf"), "avg_doc_len")  # one row of totals
 
 
+def corpus_statistics(docs: DataFrame) -> DataFrame:
+    """term_statistics() of documents (unique ids) straight from their texts: a document's distinct terms are found in its
+    row, so the only shuffle is that of partial counts."""
+    every = F.array_distinct(F.concat(*(text.terms(F.col(c)) for c in ("title", "description", "content"))))
+    df = docs.select(F.explode(every).alias("term")).groupBy("term").agg(F.count("*").alias("doc_frequency"))
+    size = docs.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"), F.coalesce(F.avg("word_count"), F.lit(0.0)).alias("avg_doc_len"))
+    return df.crossJoin(F.broadcast(size)).select("term", "doc_frequency", scores.idf(F.col("n"), F.col("doc_frequency")).alias("idf"), "avg_doc_len")  # one row of totals
+
+
 def stems(terms: DataFrame) -> DataFrame:
     """(term, stem) of the distinct terms: the stemmer sees each word once."""
     return terms.select("term").distinct().withColumn("stem", text.stem_udf("term"))

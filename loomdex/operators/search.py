@@ -88,6 +88,24 @@ def score_news(candidates: DataFrame, query: Query, total: int) -> DataFrame:
     return candidates.withColumn("score", points)
 
 
+#: Surface forms of a query's stems up to which they are looked for by a list; more are joined.
+LISTED_FORMS = 10_000
+
+
 def surface_forms(vocabulary: DataFrame, stems: tuple[str, ...]) -> DataFrame:
     """(term, stem) of the terms whose stem a query has."""
     return index.stems(vocabulary).filter(F.col("stem").isin(*stems))
+
+
+def stemmed_postings(docs: DataFrame, stems: tuple[str, ...]) -> DataFrame:
+    """Postings (doc_id, field, term, frequency) by stem, for the stems of a query. The vocabulary is stemmed first; texts are
+    then searched for the forms found, before anything is exploded."""
+    words = F.array_distinct(F.concat(*(text.terms(F.col(c)) for c in ("title", "description", "content"))))
+    forms = surface_forms(docs.select(F.explode(words).alias("term")), stems)
+    found = forms.limit(LISTED_FORMS + 1).collect()
+    if len(found) <= LISTED_FORMS:
+        postings = index.web_postings(docs, [r.term for r in found])
+        forms = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in found], forms.schema))
+    else:
+        postings = index.web_postings(docs)
+    return postings.join(forms, "term").groupBy("doc_id", "field", F.col("stem").alias("term")).agg(F.sum("frequency").alias("frequency"))

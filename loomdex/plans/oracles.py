@@ -250,3 +250,4 @@ ORACLES = {
     "migration_token_backfill": f"""with w0 as (select {', '.join(tables.WEB)} from documents), web as (select * from w0 where id % 100 = 1), {NEWS}, {POSTINGS}, {NEWS_POSTINGS}
       select 1 source_type, field, count(*) n, sum(frequency)::bigint tokens, count(*) with_doc from postings group by field union all select 2, 4, count(*), sum(frequency)::bigint, 0 from news_postings""",
 }
+ORACLES["token_statistics"] = ORACLES["term_statistics"]

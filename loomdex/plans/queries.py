@@ -36,6 +36,12 @@ def term_freq_by_field(s, d):
 
 
 def term_statistics(s, d):
+    t = index.corpus_statistics(_web(s, d))
+    return t.select("term", "doc_frequency", F.round("idf", 9).alias("idf"), F.round("avg_doc_len", 6).alias("avg_doc_len"))
+
+
+def token_statistics(s, d):
+    """The same statistics from a token table."""
     t = index.term_statistics(index.web_postings(tables.web(s, d)), _web(s, d))
     return t.select("term", "doc_frequency", F.round("idf", 9).alias("idf"), F.round("avg_doc_len", 6).alias("avg_doc_len"))
 
@@ -75,9 +81,7 @@ def web_search_stemmed(s, d):
     """Search over stemmed terms: the vocabulary is stemmed, its forms of the query's stems are retrieved, and counts add up by stem."""
     q = search.Query.of(STEM_QUERY)
     docs = _web(s, d)
-    postings = index.web_postings(docs)
-    forms = search.surface_forms(postings, q.stems())
-    hits = postings.join(forms, "term").groupBy("doc_id", "field", F.col("stem").alias("term")).agg(F.sum("frequency").alias("frequency"))
+    hits = search.stemmed_postings(docs, q.stems())
     c = search.web_candidates(hits, docs, index.term_statistics(hits, docs))
     return search.rank_web(c, q, len(q.stems())).select("url", F.round("score", 6).alias("score"))
 
@@ -369,7 +373,7 @@ def migration_token_backfill(s, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        tokenize_terms, term_freq_by_field, term_statistics, web_search_candidates, web_search_ranked, web_search_page,
+        tokenize_terms, term_freq_by_field, term_statistics, token_statistics, web_search_candidates, web_search_ranked, web_search_page,
         web_search_textless, web_search_stemmed, stem_vocabulary, news_search, news_idf_df_zero, spell_words,
         spell_external_scores, spell_dictionary, spell_meta_topn, spell_candidates_trigram, spell_candidates_prefix,
         spell_corrections, spell_suspects, spell_suggest, spell_generate_deletes, dictionary_sync_diff, link_graph,
