@@ -61,7 +61,7 @@ class Bpe:
         self.pattern = regex.compile(PATTERN)
         self.name_of = {i: str(i) for i in self.bytes_of}
         self.fixed = {(t,): (str(i), 1, t.encode()) for t, i in added}
-        self.cache: dict = dict(self.fixed)
+        self.cache, self.older = dict(self.fixed), {}
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.wide + right
@@ -149,11 +149,15 @@ class Bpe:
                 pieces.append(self.pattern.findall(t))
             else:  # an added token stands as a tuple, apart from the same text in a pre-token
                 pieces.append([x for part in self.split_added.split(t) for x in ([(part,)] if part in self.added else self.pattern.findall(part))])
-        every = set().union(*pieces)
-        new = [x for x in every if x not in self.cache]
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache = dict(self.fixed)
-            new = [x for x in every if x not in self.cache]
+        if len(self.cache) > CACHE_WORDS // 2:  # what has not been met since the last time goes
+            self.cache, self.older = dict(self.fixed), self.cache
+        new = []
+        for x in {x for p in pieces for x in set(p)}:
+            if x not in self.cache:
+                if x in self.older:
+                    self.cache[x] = self.older[x]
+                else:
+                    new.append(x)
         if new:
             self._learn(new)
         get = self.cache.__getitem__
