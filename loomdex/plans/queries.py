@@ -173,7 +173,7 @@ def spell_suggest(s, d):
 
 
 def spell_generate_deletes(s, d):
-    return _words(s, d).filter("length(word) <= 8").select("word", F.explode(spelling.deletes(F.col("word"))).alias("cut"))
+    return _words(s, d).select("word", F.explode(spelling.deletes(F.col("word"))).alias("cut"))
 
 
 def dictionary_sync_diff(s, d):
