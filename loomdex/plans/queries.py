@@ -366,7 +366,7 @@ def format_text_results(s, d):
 def migration_token_backfill(s, d):
     """News tokens of the old layout in the joint token table."""
     old = index.news_postings(tables.articles(s, d))
-    t = index.tokens(index.web_postings(tables.web(s, d).filter("id % 100 = 1")), old)
+    t = index.tokens(index.web_postings(tables.web(s, d)), old)
     return t.groupBy(F.col("source_type").cast("int").alias("source_type"), F.col("field").cast("int").alias("field")).agg(F.count("*").alias("n"), F.sum("frequency").alias("tokens"), F.count("doc_id").alias("with_doc"))
 
 

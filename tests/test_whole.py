@@ -27,3 +27,9 @@ def test_deletes_of_words_of_any_length(spark, small):
     want = {(w, x) for w in words for k in (1, 2) if len(w) > k for x in cut(w, k)}
     assert len(got) == len(want)
     assert {tuple(r) for r in got} == want
+
+
+def test_backfill_counts_tokens_of_every_document(spark, small):
+    got = queries.migration_token_backfill(spark, small("alpha beta beta", "gamma", "delta alpha")).collect()
+    web = {r.field: (r.n, r.tokens, r.with_doc) for r in got if r.source_type == 1}
+    assert web == {f: (5, 6, 5) for f in (1, 2, 4)}
