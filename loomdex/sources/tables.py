@@ -49,7 +49,7 @@ def web(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).filter("doc_id % 4 = 0").selectExpr(*ARTICLES)
+    return documents(spark, sf_dir).selectExpr(*ARTICLES)
 
 
 def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,3 +33,14 @@ def test_backfill_counts_tokens_of_every_document(spark, small):
     got = queries.migration_token_backfill(spark, small("alpha beta beta", "gamma", "delta alpha")).collect()
     web = {r.field: (r.n, r.tokens, r.with_doc) for r in got if r.source_type == 1}
     assert web == {f: (5, 6, 5) for f in (1, 2, 4)}
+
+
+def test_every_document_is_an_article(spark, small):
+    at = small("license alpha", "license beta", "license gamma", "nothing", "license delta")
+    assert {r.url for r in queries.news_search(spark, at).collect()} == {f"https://news.example.org/{i}" for i in (0, 1, 2, 4)}
+    count = {r.word: r.total_frequency for r in queries.spell_words(spark, at).collect()}
+    assert (count["license"], count["beta"], count["nothing"]) == (23, 6, 6)  # article 0 has no description
+    for query in (queries.backfill_content, queries.upsert_articles):
+        assert {r.url[-1] for r in query(spark, at).collect()} == set("01234")
+    assert {r.article_url[-1] for r in queries.replace_news_tokens(spark, at).collect()} == set("01234")
+    assert [(r.n, r.tokens) for r in queries.migration_token_backfill(spark, at).collect() if r.source_type == 2] == [(9, 25)]
