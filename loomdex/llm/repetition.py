@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 
 from . import textnum as tn
 
-#: Shorter n-grams than 4 recur in any long text. n-gram length: largest share of a text's word characters inside n-grams of that length that occur twice or more.
-MAX_COVERED = {4: 0.60, 5: 0.45, 8: 0.35}
+#: n-gram length: largest share of a text's word characters inside n-grams of that length that occur twice or more; those of 5 and 8
+#: words lie below the fifth of a text's words that fails it anyway.
+MAX_COVERED = {3: 0.60, 4: 0.60, 5: 0.15, 8: 0.12}
 #: Largest share of word characters inside lines equal to an earlier line.
-MAX_LINE_COVERED = 0.30
+MAX_LINE_COVERED = 0.20
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 

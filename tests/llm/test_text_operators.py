@@ -97,6 +97,14 @@ def test_equal_lines():
     assert got["n_dup_lines"].tolist() == [2, 0] and got["dup_line_chars"].tolist() == [4, 0]
 
 
+def test_repeated_passages_below_the_base_rule():
+    own = [f"word{i}" for i in range(130)]
+    again = own[:60] + own[40:50] + own[60:]  # ten words twice
+    phrases = [w for x in own[:30] for w in ("alpha", "beta", "gamma", x)]
+    got = repetition.measure(*tn.flat(pa.array([" ".join(x) for x in (own, again, phrases)])))
+    assert got["base_failed"].tolist() == [False] * 3 and got["kept"].tolist() == [True, False, False]
+
+
 # ---- secrets -----------------------------------------------------------------
 
 KEY = "AKIA" + "Q7" * 8
