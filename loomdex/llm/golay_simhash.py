@@ -147,8 +147,8 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, h1, h2, fingerprint (16 hex digits) and component_id, the smallest doc_id
-    that links of at most two differing bits reach (itself included).
+    """One row per input row: doc_id, h1, h2, fingerprint (16 hex digits), root (a fingerprint, one for each component) and
+    component_id, the smallest doc_id that links of at most two differing bits reach (itself included).
 
     Texts without words have fingerprint zero and are linked like any other; a null text is empty. Copies share a
     fingerprint and are never made into pairs. A null doc_id takes part but names no component unless all are null.
@@ -158,14 +158,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(fps))
     rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "h1", "h2", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = rooted.select("fp", "root").join(named, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "h1", "h2", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "root", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents with one row of each component left: that of the smallest doc_id (then text hash)."""
     groups = near_duplicates(docs)
-    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")).alias("k")).select("k.h1", "k.h2")
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")).alias("k")).select("k.h1", "k.h2")
     cols = docs.columns
     row = docs.select(F.struct(*cols).alias("row"), "doc_id", "text")
     return with_row_key(row).select("row", "h1", "h2").join(first, ["h1", "h2"]).dropDuplicates(["h1", "h2"]).select("row.*")

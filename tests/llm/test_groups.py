@@ -100,6 +100,13 @@ def test_near_duplicate_rows(spark, odd, empty, prose):
     assert golay_simhash.keep_one(empty).count() == 0
 
 
+def test_rows_without_id_are_kept_by_text(spark, prose):
+    texts = [prose(60, i) for i in range(6)]
+    rows = [*((None, x) for x in texts[:4]), (None, texts[0]), (1, texts[4]), (None, texts[4]), (2, texts[5])]
+    kept = golay_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([*((0, x) for x in texts[:4]), (1, texts[4]), (2, texts[5])])
+
+
 # ---- decontamination ---------------------------------------------------------
 
 
