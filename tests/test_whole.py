@@ -44,3 +44,12 @@ def test_every_document_is_an_article(spark, small):
         assert {r.url[-1] for r in query(spark, at).collect()} == set("01234")
     assert {r.article_url[-1] for r in queries.replace_news_tokens(spark, at).collect()} == set("01234")
     assert [(r.n, r.tokens) for r in queries.migration_token_backfill(spark, at).collect() if r.source_type == 2] == [(9, 25)]
+
+
+def test_every_document_has_a_shard(spark, small):
+    assert {tuple(r) for r in queries.shard_assignment(spark, small(*"abcdef")).collect()} == {(i, i % 4) for i in range(6)}
+
+
+def test_lexicon_is_exported_to_its_production_size(spark, small):
+    words = {"word" + a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"}
+    assert words <= {r.word for r in queries.spell_meta_topn(spark, small(" ".join(sorted(words)))).collect()}
