@@ -2,7 +2,9 @@
 
 Each notice may hold k edits, so of k + 1 parts at least one stands unchanged (pigeonhole). Parts
 are exact seeds found by str.find; around each hit the regex library's bounded-error match
-verifies the notice and gives its span.
+verifies the notice and gives its span. Bounds go up from no edit to k: what matches within a bound
+is taken from left to right, and the next bound is tried on the stretches between, so a better match
+hides none that stands beside it.
 """
 
 from __future__ import annotations
@@ -48,31 +50,43 @@ class Finder:
         self.notices = []
         for notice, label in NOTICES.items():
             k, seeds = parts(notice)
-            self.notices.append((notice, label, k, seeds, regex.compile(f"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}")))
-        seeds = sorted({s for *_, seeds, _ in self.notices for _, s in seeds}, key=lambda s: (-len(s), s))
-        self.any_seed = regex.compile("|".join(regex.escape(s, literal_spaces=True) for s in seeds))
+            plain = regex.escape(notice, literal_spaces=True)
+            self.notices.append((notice, label, k, seeds, [regex.compile(f"(?:{plain}){{e<={e}}}") for e in range(k + 1)]))
+
+    @staticmethod
+    def windows(norm: str, size: int, k: int, seeds: list[tuple[int, str]]) -> list[list[int]]:
+        """Stretches around the seeds, joined where they touch; every match within k edits lies in one of them."""
+        places = set()
+        for offset, seed in seeds:
+            at = norm.find(seed)
+            while at >= 0:
+                places.add(at - offset)
+                at = norm.find(seed, at + 1)
+        out: list[list[int]] = []
+        for p in sorted(places):  # a notice that has this seed in place starts within k of p
+            a, b = max(0, p - k), min(len(norm), p + size + 2 * k)
+            if out and a <= out[-1][1]:
+                out[-1][1] = b
+            else:
+                out.append([a, b])
+        return out
 
     def fuzzy(self, norm: str) -> list[tuple[int, int, str, float]]:
-        """Spans (start, end, label, score) of every notice within its number of edits; of overlapping ones of a notice the best."""
-        out = []
-        for notice, label, k, seeds, pattern in self.notices:
-            places = set()
-            for offset, seed in seeds:
-                at = norm.find(seed)
-                while at >= 0:
-                    places.add(at - offset)
-                    at = norm.find(seed, at + 1)
-            windows: list[list[int]] = []
-            for p in sorted(places):  # a notice that has this seed in place starts within k of p
-                a, b = max(0, p - k), min(len(norm), p + len(notice) + 2 * k)
-                if windows and a <= windows[-1][1]:
-                    windows[-1][1] = b
-                else:
-                    windows.append([a, b])
-            for a, b in windows:
-                for m in pattern.finditer(norm, a, b):
-                    out.append((m.start(), m.end(), label, 1 - sum(m.fuzzy_counts) / len(notice)))
-        return out
+        """Spans (start, end, label, score) of every notice within its number of edits. Of one notice's matches that overlap,
+        the one of fewer edits is reported, of equal ones the leftmost; matches that overlap no reported one are all reported."""
+        out = set()
+        for notice, label, k, seeds, patterns in self.notices:
+            gaps = [(a, b) for a, b in self.windows(norm, len(notice), k, seeds) if patterns[k].search(norm, a, b)]
+            for edits, pattern in enumerate(patterns):
+                left = []
+                for a, b in gaps:
+                    for m in pattern.finditer(norm, a, b):
+                        out.add((m.start(), m.end(), label, 1 - edits / len(notice)))
+                        left.append((a, m.start()))
+                        a = m.end()
+                    left.append((a, b))
+                gaps = [(a, b) for a, b in left if b - a >= len(notice) - k]
+        return sorted(out)
 
     def scan(self, text: str) -> dict:
         words = text.encode().lower().translate(_KEEP).split()
@@ -80,9 +94,10 @@ class Finder:
         padded = f" {norm} "
         places = []
         for phrase, label in PHRASES.items():
-            at = padded.find(f" {phrase} ")
+            number, seen, at = 0, 0, padded.find(f" {phrase} ")
             while at >= 0:
-                places.append((padded.count(" ", 0, at), label))
+                number, seen = number + padded.count(" ", seen, at), at
+                places.append((number, label))
                 at = padded.find(f" {phrase} ", at + 1)
         spans = self.fuzzy(norm)
         base = {x for _, x in places}
@@ -94,7 +109,7 @@ class Finder:
             "base_labels": ",".join(sorted(base)),
             "labels": ",".join(sorted(base | {s[2] for s in spans})),
             "score": 1.0 if places else max((s[3] for s in spans), default=0.0),
-            "spans": ",".join(f"{label}:{a}:{b}" for a, b, label, _ in sorted(spans)),
+            "spans": ",".join(f"{label}:{a}:{b}" for a, b, label, _ in spans),
         }
 
 
@@ -105,8 +120,10 @@ SPARK_SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_wo
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: exact phrases by word, and fuzzy notices with spans (code points of the normalised text: words joined by spaces).
 
-    A null text counts as empty: no words, no labels, null first_word and last_word, score 0.
-    score is 1 where an exact phrase stands, else the best 1 - edits / length of a fuzzy notice.
+    A null text counts as empty, and a blank one is like it: no words, no labels, null first_word and last_word, score 0.
+    score is 1 where an exact phrase stands, else the best 1 - edits / length of a fuzzy notice. Repeated rows give a row
+    each, an empty table gives none, other columns are ignored, and texts of any length are searched whole. Sets the
+    session's Arrow batch to textnum.ARROW_ROWS rows.
     """
     tn.small_batches(docs.sparkSession)
 
