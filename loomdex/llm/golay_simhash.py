@@ -17,13 +17,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .graph import components
-from .store import written
+from .store import drop, written
 
 #: Fixed value: generator polynomial x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
@@ -31,7 +30,13 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 #: Fingerprints of a key up to which its pairs are compared one by one.
 PAIRWISE = 32
-_HASH_BLOCK = 1 << 16
+#: Rows to leave out or to look at again up to which their keys are sent to all executors; more are joined by a shuffle.
+SENT_KEYS = 500_000
+#: Shingles that are hashed at a time.
+_HASH_BLOCK = 1 << 17
+_BYTES = np.uint64(0x0101010101010101)
+# The five primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -85,21 +90,91 @@ def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, every[row, col]
 
 
+def _turn(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def _lane(x: np.ndarray, into: np.ndarray | np.uint64 = np.uint64(0)) -> np.ndarray:
+    return _turn(into + x * _P2, 31) * _P1
+
+
+def xxh64(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """XXH64 of buf[start:end] for many spans at once: all spans take their first eight bytes, then all that have more their next."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        data = np.concatenate([buf, np.zeros(8, np.uint8)])
+        word = np.ndarray(len(buf) + 1, "<u8", data, strides=(1,))  # the eight bytes from each place on
+        size, at = end - start, start.copy()
+        s = np.uint64(seed)
+        h = np.full(len(start), s + _P5, np.uint64)
+        if len(long := np.flatnonzero(size >= 32)):
+            acc = np.repeat(np.array([[s + _P1 + _P2], [s + _P2], [s], [s - _P1]], np.uint64), len(long), axis=1)
+            on = np.arange(len(long))
+            while len(on):
+                place = at[long[on]]
+                for k in range(4):
+                    acc[k, on] = _lane(word[place + 8 * k], acc[k, on])
+                at[long[on]] += 32
+                on = on[end[long[on]] - at[long[on]] >= 32]
+            mixed = _turn(acc[0], 1) + _turn(acc[1], 7) + _turn(acc[2], 12) + _turn(acc[3], 18)
+            for k in range(4):
+                mixed = (mixed ^ _lane(acc[k])) * _P1 + _P4
+            h[long] = mixed
+        h += size.astype(np.uint64)
+        on = np.flatnonzero(end - at >= 8)
+        while len(on):
+            h[on] = _turn(h[on] ^ _lane(word[at[on]]), 27) * _P1 + _P4
+            at[on] += 8
+            on = on[end[on] - at[on] >= 8]
+        on = np.flatnonzero(end - at >= 4)
+        h[on] = _turn(h[on] ^ ((word[at[on]] & np.uint64(0xFFFFFFFF)) * _P1), 23) * _P2 + _P3
+        at[on] += 4
+        on = np.flatnonzero(at < end)
+        while len(on):
+            h[on] = _turn(h[on] ^ (data[at[on]].astype(np.uint64) * _P5), 11) * _P1
+            at[on] += 1
+            on = on[at[on] < end[on]]
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        return h ^ (h >> np.uint64(32))
+
+
+def fingerprint_many(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64-bit SimHash of the three-word shingles of each text; no words: 0."""
+    n = len(at) - 1
+    w = tn.words(buf, at)
+    if not len(w.start):
+        return np.zeros(n, np.uint64)
+    size = w.end - w.start
+    after = np.cumsum(size + 1)  # words back to back, a blank behind each
+    norm = np.full(after[-1], 0x20, np.uint8)
+    inside = ~tn.SPACE[buf]
+    norm[np.arange(inside.sum()) + np.repeat(np.arange(len(size)), size)] = tn.LOWER[buf[inside]]
+    begin, end = after - size - 1, after - 1
+    count = w.counts()
+    first = np.cumsum(count) - count
+    last = np.minimum(np.arange(len(size)) + SHINGLE, (first + count)[w.doc]) - 1
+    pick = np.flatnonzero((last - np.arange(len(size)) == SHINGLE - 1) | (np.arange(len(size)) == first[w.doc]))
+    start, stop, doc = begin[pick], end[last[pick]], w.doc[pick]
+    ones = np.zeros((n, 64), np.int64)  # bit 8 * byte + k
+    for i in range(0, len(start), _HASH_BLOCK):
+        j = min(i + _HASH_BLOCK, len(start))
+        a, b = start[i], stop[i:j].max()
+        h = xxh64(norm[a:b], start[i:j] - a, stop[i:j] - a)
+        mine = doc[i:j]
+        fresh = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+        length = np.diff(np.append(fresh, len(mine)))
+        cut = np.flatnonzero((np.arange(len(mine)) - np.repeat(fresh, length)) % 255 == 0)  # eight counters of a byte each
+        for k in range(8):
+            part = np.add.reduceat((h >> np.uint64(k)) & _BYTES, cut).astype("<u8").view(np.uint8).reshape(-1, 8)
+            np.add.at(ones[:, k::8], mine[cut], part)
+    total = np.bincount(doc, minlength=n)
+    return np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
+
+
 def fingerprint(text: str | None) -> int:
-    """64-bit SimHash of a text's three-word shingles; no words: 0."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    norm = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(words) - SHINGLE + 1)
-    a, b = starts[:n].tolist(), (ends[SHINGLE - 1 :] if len(words) >= SHINGLE else ends[-1:]).tolist()
-    h, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for i in range(0, n, _HASH_BLOCK):
-        got = np.array([h(norm[s:e], SEED) for s, e in zip(a[i : i + _HASH_BLOCK], b[i : i + _HASH_BLOCK], strict=True)], ">u8")
-        total += np.unpackbits(got.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+    return int(fingerprint_many(*tn.flat(pa.array([text], pa.large_string())))[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,8 +184,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py()) for t in b.column(3)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(fp)], schema=schema)
+            for i, j, buf, at in tn.slices(b.column(3)):
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), pa.array(fingerprint_many(buf, at).view(np.int64))], schema=schema)
 
     return with_row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", "h1", "h2", "text").mapInArrow(run, "doc_id long, h1 long, h2 long, fp long")
 
@@ -150,8 +225,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: doc_id, h1, h2, fingerprint (16 hex digits), root (a fingerprint, one for each component) and
     component_id, the smallest doc_id that links of at most two differing bits reach (itself included).
 
-    Texts without words have fingerprint zero and are linked like any other; a null text is empty. Copies share a
-    fingerprint and are never made into pairs. A null doc_id takes part but names no component unless all are null.
+    Texts without words have fingerprint zero and are linked like any other; a null text is empty. Copies and repeated rows
+    share a fingerprint and are never made into pairs. A null doc_id takes part but names no component unless all are null.
+    An empty table gives no rows; texts of any length are hashed whole, in blocks; other columns are ignored.
     """
     rows = written(fingerprints(docs, id_col, text_col))
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
@@ -163,9 +239,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with one row of each component left: that of the smallest doc_id (then text hash)."""
-    groups = near_duplicates(docs)
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")).alias("k")).select("k.h1", "k.h2")
+    """The documents with one row of each component left: that of the smallest doc_id (null ids last, then by text hash); of
+    rows that repeat id and text, one. Columns stay as they are.
+
+    Texts are shuffled only where the rows to leave out are more than SENT_KEYS.
+    """
+    groups = written(near_duplicates(docs).select("doc_id", "h1", "h2", "root"))
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")).alias("k")).select("k.h1", "k.h2", F.lit(True).alias("first"))
+    sizes = groups.groupBy("h1", "h2").agg(F.count("*").alias("n")).join(first, ["h1", "h2"], "left")
+    marked = written(sizes.select("h1", "h2", "n", F.coalesce("first", F.lit(False)).alias("first")).filter("n > 1 or not first"))
     cols = docs.columns
-    row = docs.select(F.struct(*cols).alias("row"), "doc_id", "text")
-    return with_row_key(row).select("row", "h1", "h2").join(first, ["h1", "h2"]).dropDuplicates(["h1", "h2"]).select("row.*")
+    rows = with_row_key(docs.select(F.struct(*cols).alias("row"), "doc_id", "text")).select("row", "h1", "h2")
+    out, again = marked.select("h1", "h2"), marked.filter("first").select("h1", "h2")
+    if marked.limit(SENT_KEYS + 1).count() <= SENT_KEYS:
+        out, again = F.broadcast(out), F.broadcast(again)
+    kept = rows.join(out, ["h1", "h2"], "left_anti")
+    if marked.filter("first").limit(1).count():  # rows that repeat id and text: one of each
+        kept = kept.unionByName(rows.join(again, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]))
+    drop(groups)
+    return kept.select("row.*")
