@@ -4,7 +4,8 @@ Six kinds of parts are found with their code-point spans. Three are reported whe
 the weak ones (a bare 40-character key, an account name, an endpoint) only if a complementary part
 lies within the same scope. The interval join of parts and scopes is a sweep: a window over a
 text's parts in order carries the nearest complementary end before and start after each of them,
-so work is linear in parts and no pairs are made.
+so work is linear in parts and no pairs are made. A weak part is reported beside a strong one only,
+so one search for the shortest strong part tells which texts are looked at at all.
 """
 
 from __future__ import annotations
@@ -29,10 +30,13 @@ KINDS = {
 STRONG = ("assign", "access", "hex")
 #: What a weak part must have within its scope.
 COMPLEMENT = {"key40": ("access",), "user": ("assign", "access"), "endpoint": ("assign", "access")}
+#: What every text with a strong part holds.
+HINT = rf"""(?:{_ASSIGN})["\x27]?\x20*[:=]\x20*["\x27]?[A-Za-z0-9+/_.=-]{{6}}|AKIA[A-Z0-9]{{16}}|[0-9a-f]{{24}}"""
 #: Code points between a weak part and its complement.
 SCOPE = 200
 MARK = "[SECRET]"
 _BLOCK = 64
+_CHARS = 1024
 
 
 def _parts(text: Column, kind: str) -> tuple[Column, Column]:
@@ -66,13 +70,20 @@ def _with_spans(docs: DataFrame) -> DataFrame:
     return docs
 
 
-def _linked(rows: DataFrame, key: list[str], keep: list[str]) -> DataFrame:
-    """Explodes the span arrays, links weak parts, and gives one row per key: keep columns, counts and `found`, the reported spans in order."""
-    weak = " or ".join(f"size(s_{k}) > 0" for k in STRONG)
-    every = F.expr(f"case when {weak} then concat({', '.join(f's_{k}' for k in KINDS)}) else array() end")
-    parts = rows.select(*key, *keep, F.explode_outer(every).alias("s")).select(*key, *keep, "s.start", "s.ord", "s.end")
+def _keyed(df: DataFrame) -> DataFrame:
+    """Adds h1 and h2, which name a row's id and text: keys from the row itself are the same however often a task runs."""
+    return df.withColumns({"h1": F.xxhash64("_id", "text"), "h2": F.xxhash64("text", "_id", F.lit(1))})
+
+
+def _linked(rows: DataFrame) -> DataFrame:
+    """(h1, h2, ord, start, end, shown) of every part of the texts (h1, h2, text) that hold a strong one; rows that repeat
+    id and text count once. shown: strong, or linked and in no reported part."""
+    spans = _with_spans(rows).select("h1", "h2", *(f"s_{k}" for k in KINDS)).dropDuplicates(["h1", "h2"])
+    strong = " or ".join(f"size(s_{k}) > 0" for k in STRONG)  # not a filter: pushed below the spans, it would make them anew for each part
+    every = F.expr(f"case when {strong} then concat({', '.join(f's_{k}' for k in KINDS)}) else array() end")
+    parts = spans.select("h1", "h2", F.explode(every).alias("s")).select("h1", "h2", "s.start", "s.ord", "s.end")
     names = list(KINDS)
-    order = Window.partitionBy(*key).orderBy("start", "ord")
+    order = Window.partitionBy("h1", "h2").orderBy("start", "ord")
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
     is_ = lambda kinds: F.col("ord").isin([names.index(k) for k in kinds])
     near = lambda kinds: (F.col("start") - F.max(F.when(is_(kinds), F.col("end"))).over(before) <= SCOPE) | (F.min(F.when(is_(kinds), F.col("start"))).over(after) - F.col("end") <= SCOPE)
@@ -80,52 +91,73 @@ def _linked(rows: DataFrame, key: list[str], keep: list[str]) -> DataFrame:
     shown = is_(STRONG)
     for kinds in sorted(set(COMPLEMENT.values())):
         shown = shown | (is_([k for k, v in COMPLEMENT.items() if v == kinds]) & F.coalesce(near(kinds), F.lit(False)) & ~held)
-    parts = parts.withColumn("shown", shown)
-    label = F.element_at(F.array(*map(F.lit, names)), F.col("ord") + 1)
-    span = F.struct("start", "ord", "end", F.concat_ws(":", label, F.col("start"), F.col("end")).alias("label"))
-    return parts.groupBy(*key).agg(
-        *(F.first(c).alias(c) for c in keep),
-        *(F.count(F.when(F.col("ord") == names.index(k), 1)).alias(f"n_{k}") for k in STRONG),
-        F.sort_array(F.collect_list(F.when(F.col("shown"), span))).alias("found"),
-    )
+    return parts.withColumn("shown", shown)
+
+
+def _hinted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("hint", F.coalesce(F.col("text").rlike(HINT), F.lit(False)))
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: counts of the base kinds, digest of the base spans, and all reported spans.
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind. A null text is empty: counts 0,
-    the digest of the empty string, spans ''. Repeated rows give a row each.
+    the digest of the empty string, spans ''. Repeated rows give a row each, parts that start together are ordered by
+    kind, an empty table gives no rows, other columns are ignored. A text's parts are swept in one task, in time linear
+    in them; texts are searched whole.
     """
-    rows = _with_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    rows = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *(f"s_{k}" for k in KINDS))
-    got = _linked(rows, ["rid"], ["doc_id"])
+    rows = _keyed(_hinted(docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))))
+    parts = _linked(rows.filter("hint"))
+    names = list(KINDS)
+    label = F.concat_ws(":", F.element_at(F.array(*map(F.lit, names)), F.col("ord") + 1), "start", "end")
+    found = parts.groupBy("h1", "h2").agg(
+        *(F.count(F.when(F.col("ord") == names.index(k), 1)).alias(f"n_{k}") for k in STRONG),
+        F.sort_array(F.collect_list(F.when(F.col("shown"), F.struct("start", "ord", label.alias("label"))))).alias("found"),
+    )
+    with_parts = rows.filter("hint").select("_id", "h1", "h2").join(found, ["h1", "h2"], "left")
+    none = F.array().cast(found.schema["found"].dataType)
+    every = with_parts.select("_id", *(f"n_{k}" for k in STRONG), "found").unionByName(rows.filter("not hint").select("_id", *(F.lit(None).cast("long").alias(f"n_{k}") for k in STRONG), none.alias("found")))
     join = lambda which: F.array_join(F.transform(which, lambda s: s["label"]), ",")
-    return got.select(
-        "doc_id", *(f"n_{k}" for k in STRONG),
-        F.sha2(join(F.filter("found", lambda s: s["ord"] < len(STRONG))), 256).alias("base_sha256"),
-        join(F.col("found")).alias("spans"),
+    shown = F.coalesce("found", none)
+    return every.select(
+        F.col("_id").alias("doc_id"), *(F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in STRONG),
+        F.sha2(join(F.filter(shown, lambda s: s["ord"] < len(STRONG))), 256).alias("base_sha256"),
+        join(shown).alias("spans"),
     )
 
 
+def _piece(start: str, end: str) -> str:
+    """SQL of a text's code points from start to end, out of its blocks `b`: work is that of the piece and two blocks."""
+    i, j = f"cast({start} div {_CHARS} as int)", f"cast({end} div {_CHARS} as int)"
+    at, to = f"cast({start} % {_CHARS} as int)", f"cast({end} % {_CHARS} as int)"
+    return f"""case when {i} >= size(b) then '' when {i} = {j} then substring(b[{i}], {at} + 1, {to} - {at})
+        else concat(substring(b[{i}], {at} + 1), array_join(slice(b, {i} + 2, {j} - {i} - 1), ''), case when {j} < size(b) then substring(b[{j}], 1, {to}) else '' end) end"""
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every reported span (overlapping ones as one) replaced by MARK; all columns and rows stay.
+    """docs with every reported span (overlapping ones as one) replaced by MARK; all columns and rows stay, and n_chars, if
+    there is one, follows the text.
 
-    Only rows with a reported span are shuffled. A null text stays null.
+    Only rows that may hold a strong part are shuffled. A null text stays null, as does an empty one; repeated rows are
+    rewritten alike; an empty table stays empty. Work is linear in a text's length and in its secrets.
     """
     cols = docs.columns
-    flagged = _with_spans(docs.select(F.struct(*cols).alias("row"), F.col(id_col).alias("_id"), F.col(text_col).alias("text")))
-    strong = F.expr(" or ".join(f"size(s_{k}) > 0" for k in STRONG))
-    hit = F.coalesce(strong, F.lit(False))
-    clean = flagged.filter(~hit).select("row.*")
-    found = flagged.filter(hit).withColumns({"h1": F.xxhash64("_id", "text"), "h2": F.xxhash64("text", "_id", F.lit(1))})
-    spans = _linked(found.select("h1", "h2", *(f"s_{k}" for k in KINDS)).dropDuplicates(["h1", "h2"]), ["h1", "h2"], []).select("h1", "h2", "found")
-    both = found.select("row", "text", "h1", "h2").join(spans, ["h1", "h2"])
-    both = both.withColumn("found", F.expr("""aggregate(found, array(named_struct('start', 0L, 'end', 0L)), (a, s) ->
-        if(s.start < a[size(a) - 1].end, concat(slice(a, 1, size(a) - 1), array(named_struct('start', a[size(a) - 1].start, 'end', greatest(a[size(a) - 1].end, s.end)))), concat(a, array(named_struct('start', s.start, 'end', s.end)))))"""))
-    both = both.withColumn("new", F.expr(f"""concat(array_join(transform(slice(found, 2, size(found)), (s, i) -> concat(substring(text, cast(found[i].end as int) + 1, cast(s.start - found[i].end as int)), '{MARK}')), ''),
-        substring(text, cast(found[size(found) - 1].end as int) + 1))"""))
-    new = {text_col: F.col("new")} | ({"n_chars": F.length("new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in cols else {})
-    return clean.unionByName(both.select(*(new.get(c, F.col("row")[c]).alias(c) for c in cols)))
+    rows = _hinted(docs.select(F.struct(*cols).alias("row"), F.col(id_col).alias("_id"), F.col(text_col).alias("text")))
+    clean = rows.filter("not hint").select("row.*")
+    hinted = _keyed(rows.filter("hint"))
+    order = Window.partitionBy("h1", "h2").orderBy("start", "ord")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    parts = _linked(hinted).filter("shown").withColumn("fresh", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int"))
+    runs = parts.withColumn("run", F.sum("fresh").over(order)).groupBy("h1", "h2", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    found = runs.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("found"))
+    both = hinted.select("row", "text", "h1", "h2").join(found, ["h1", "h2"], "left")
+    both = both.withColumn("b", F.when(F.col("found").isNotNull(), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_CHARS}}}"), F.lit(0))))
+    after = "found[size(found) - 1].end"
+    new = F.expr(f"""case when found is null then text else concat(array_join(transform(found, (s, i) -> concat({_piece("case when i = 0 then 0L else found[i - 1].end end", "s.start")}, '{MARK}')), ''),
+        {_piece(after, f"cast(size(b) as long) * {_CHARS}")}) end""")
+    both = both.withColumn("new", new)
+    fresh = {text_col: F.col("new")} | ({"n_chars": F.when(F.col("found").isNull(), F.col("row.n_chars")).otherwise(F.length("new")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in cols else {})
+    return clean.unionByName(both.select(*(fresh.get(c, F.col("row")[c]).alias(c) for c in cols)))
 
 
 def oracle(table: str = "documents") -> str:
