@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe, decontam, golay_simhash, lang_id, licenses, lm_score, merkle, quality_bayes, repetition, secrets
 
 
-
-def _vocabulary(name: str) -> str:
-    """Path of a public vocabulary file: in the folder that TOKENIZER_DIR names, else where public_tokenizers has it."""
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Path of a public vocabulary file: in the folder that TOKENIZER_DIR names, else where public_tokenizers has it. Looked up
+    when a query needs it, so that the others work without that package."""
     if folder := os.environ.get("TOKENIZER_DIR"):
         return os.path.join(folder, name)
     import public_tokenizers
@@ -19,9 +19,6 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-VOCABULARY = _vocabulary("byte_bpe_50k.json")
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,7 +57,7 @@ def op8_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.bpe_digests(_table(spark, sf_dir, "documents"), VOCABULARY)
+    return bpe.bpe_digests(_table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op10_fuzzy_notices(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ _POW = {"n": 0, "up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def small_batches(spark) -> None:
-    """Bound the rows of an Arrow batch, since texts can be long."""
+    """Bound the rows of an Arrow batch, since texts can be long. The setting is the session's and stays: it is read when a plan runs, after we return."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 

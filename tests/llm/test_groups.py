@@ -107,6 +107,42 @@ def test_rows_without_id_are_kept_by_text(spark, prose):
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([*((0, x) for x in texts[:4]), (1, texts[4]), (2, texts[5])])
 
 
+def test_keep_one_by_a_shuffle(spark, odd, monkeypatch):
+    """More rows to leave out than are sent: the same rows stay."""
+    plain = lambda df: sorted(map(repr, df.collect()))
+    sent = plain(golay_simhash.keep_one(odd))
+    monkeypatch.setattr(golay_simhash, "SENT_KEYS", 0)
+    assert plain(golay_simhash.keep_one(odd)) == sent
+
+
+def test_hashes_of_many_spans():
+    import xxhash
+
+    r = random.Random(9)
+    buf = np.array([r.randrange(256) for _ in range(3000)], np.uint8)
+    start = np.array([r.randrange(2000) for _ in range(500)])
+    end = start + np.array([r.choice([0, 1, 3, 4, 7, 8, 9, 31, 32, 33, 63, 64, 65, 999]) for _ in start])
+    assert golay_simhash.xxh64(buf, start, end).tolist() == [xxhash.xxh64_intdigest(buf[a:b].tobytes(), 42) for a, b in zip(start, end, strict=True)]
+
+
+def test_tables_go_where_the_cluster_says(spark):
+    """Without a shared folder nothing is written on a cluster; tables that are read no more can be dropped."""
+    import os
+    from types import SimpleNamespace
+
+    from loomdex.llm import store
+
+    bare = SimpleNamespace(get=lambda *_: None)
+    far = SimpleNamespace(conf=bare, sparkContext=SimpleNamespace(getConf=lambda: bare, master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        store.shared_dir(far)
+    got = store.written(spark.range(3))
+    at = store._PATHS[got].removeprefix("file://")
+    assert os.path.exists(at)
+    store.drop(got)
+    assert not os.path.exists(at)
+
+
 # ---- decontamination ---------------------------------------------------------
 
 

@@ -1,6 +1,8 @@
 import corpus_pipeline
 from loomdex.llm import bpe, decontam, golay_simhash, secrets
-from loomdex.llm.queries import VOCABULARY
+from loomdex.llm.queries import vocabulary
+
+VOCABULARY = vocabulary()
 
 
 def test_stages_one_by_one(spark, sf_dir):

@@ -7,7 +7,9 @@ import pytest
 
 from loomdex.llm import bpe, lang_id, licenses, repetition, secrets
 from loomdex.llm import textnum as tn
-from loomdex.llm.queries import VOCABULARY
+from loomdex.llm.queries import vocabulary
+
+VOCABULARY = vocabulary()
 
 
 # ---- shared primitives -------------------------------------------------------
@@ -147,9 +149,23 @@ def test_redaction(spark, odd, empty):
     assert secrets.secret_scan(odd).count() == odd.count()
 
 
+def test_many_secrets_are_rewritten(spark):
+    text = "é😀 " + " ".join(f"token=abc{i:05d} plain{i} {KEY}{'0' * 24}" if i % 7 else "word " * 300 for i in range(3000)) + " end"
+    spans = sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in scan(spark, text)[0].spans.split(",")))
+    want, at = "", 0
+    for a, b in spans:
+        if a >= at:
+            want += text[at:a] + secrets.MARK
+        at = max(at, b)
+    want += text[at:]
+    got = secrets.redact(spark.createDataFrame([(0, text), (0, text), (1, "token=abcdefg")], "doc_id long, text string")).collect()
+    assert len(spans) > 5000 and sorted((r.doc_id, r.text) for r in got) == [(0, want), (0, want), (1, secrets.MARK)]
+
+
 def test_native_plan(spark, odd):
-    plan = secrets.secret_scan(odd)._jdf.queryExecution().toString()
-    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+    for made in (secrets.secret_scan(odd), secrets.redact(odd)):
+        plan = made._jdf.queryExecution().toString()
+        assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "monotonically"))
 
 
 # ---- BPE ---------------------------------------------------------------------
@@ -227,6 +243,49 @@ def test_phrases():
     assert (none["n_words"], none["first_word"], none["labels"], none["score"]) == (0, None, "", 0.0)
 
 
+def holds(notice, k, norm, spans, a, b):
+    """Whether spans (start, end, edits) of one notice are, within norm[a:b], a best match, and so on in the stretches on both of its sides."""
+    least = edit_search(notice, norm[a:b])
+    if not spans:
+        return least > k
+    start, end, edits = min(spans, key=lambda x: (x[2], x[0]))
+    left, right = [x for x in spans if x[1] <= start], [x for x in spans if x[0] >= end]
+    return least == edits == edit_search(notice, norm[start:end]) and len(left) + len(right) + 1 == len(spans) and holds(notice, k, norm, left, a, start) and holds(notice, k, norm, right, end, b)
+
+
+def test_every_span_is_reported():
+    """Notices side by side, near ones beside exact ones, against dynamic programming."""
+    r = random.Random(8)
+    finder = licenses.Finder()
+    assert finder.scan("all right reserved all rights reserved")["spans"] == "reserved:0:18,reserved:19:38"
+    for _ in range(60):
+        parts = []
+        for notice in [r.choice(list(licenses.NOTICES))] * r.randrange(1, 4) + [r.choice(list(licenses.NOTICES))]:
+            s = list(notice)
+            for _ in range(r.randrange(6)):
+                k = r.randrange(len(s))
+                s[k : k + 1] = list(r.choice(["", "q", s[k] + "z"]))
+            parts += ["".join(s), *(["filler"] * r.randrange(3))]
+        norm = " ".join(" ".join(parts).split())
+        for one in finder.notices:
+            alone = licenses.Finder.__new__(licenses.Finder)
+            alone.notices = [one]
+            spans = [(a, b, round((1 - score) * len(one[0]))) for a, b, _, score in alone.fuzzy(norm)]
+            assert holds(one[0], one[2], norm, spans, 0, len(norm))
+        got = finder.scan(norm)
+        words = norm.split()
+        base = [(i, label) for phrase, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        assert (got["n_words"], got["n_base"]) == (len(words), len(base))
+        assert (got["first_word"], got["last_word"]) == (min((i for i, _ in base), default=None), max((i for i, _ in base), default=None))
+        assert got["base_labels"] == ",".join(sorted({x for _, x in base}))
+        assert got["score"] == (1.0 if base else max((x[3] for x in finder.fuzzy(norm)), default=0.0))
+
+
 def test_license_rows(spark, odd, empty):
     assert licenses.license_scan(odd).count() == odd.count()
     assert licenses.license_scan(empty).count() == 0
+    text = "All rights reserved, CC-BY; " * 3
+    rows = [(1, None), (2, " \n"), (3, text), (3, text), (None, "cc by")]
+    got = [tuple(r)[:8] for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    none = (0, 0, None, None, "", "", 0.0)
+    assert sorted(got, key=repr) == sorted([(1, *none), (2, *none), *[(3, 15, 6, 0, 13, "cc-by,reserved", "cc-by,reserved", 1.0)] * 2, (None, 2, 1, 0, 0, "cc-by", "cc-by", 1.0)], key=repr)
