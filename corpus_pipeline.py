@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomdex.llm import bpe, decontam, golay_simhash, quality_bayes, secrets
-from loomdex.llm.queries import VOCABULARY
+from loomdex.llm.queries import vocabulary
 from loomdex.llm.store import written
 
 
@@ -33,7 +33,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
-    return bpe.bpe_digests(docs, VOCABULARY)
+    return bpe.bpe_digests(docs, vocabulary())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
