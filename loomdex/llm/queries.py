@@ -40,8 +40,8 @@ def op4_hierarchical_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages")
-    return merkle.audit(merkle.warc_records(pages), merkle.warc_records(merkle.damaged(pages)))
+    records = merkle.warc_records(_table(spark, sf_dir, "pages"))
+    return merkle.audit(records, merkle.damaged(records))
 
 
 def op6_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

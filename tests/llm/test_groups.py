@@ -236,25 +236,39 @@ def test_many_sites_are_joined(spark, odd, labels, monkeypatch):
 
 
 def test_audit_finds_all_differences(spark):
-    left = spark.range(5000).selectExpr("id number", "concat('record ', id) record")
+    left = spark.range(5000).selectExpr("id number", "id * 20 offset", "concat('record ', id) record", "'x' hash", "id digest", "id node")
     right = left.filter("number <> 77").withColumn("record", F.when(F.col("number").isin(5, 4095), F.lit("x")).otherwise(F.col("record")))
-    right = right.union(spark.createDataFrame([(-3, "new"), (9000, "new")], "number long, record string"))
+    right = right.withColumn("offset", F.when(F.col("number") == 300, F.col("offset") + 1).otherwise(F.col("offset"))).select("number", "offset", "record")
+    right = right.union(spark.createDataFrame([(-3, 0, "new"), (9000, 0, "new")], "number long, offset long, record string"))
     got = {r.number: r.status for r in merkle.audit(left, right).collect()}
-    assert got == {5: "corrupt", 4095: "corrupt", 77: "missing", -3: "extra", 9000: "extra"}
+    assert got == {5: "corrupt", 4095: "corrupt", 77: "missing", 300: "moved", -3: "extra", 9000: "extra"}
     assert merkle.audit(left, left).count() == 0
 
 
+def test_offsets_are_in_every_hash_above(spark):
+    left = spark.range(600).selectExpr("id number", "id * 20 offset", "'same' record")
+    right = left.withColumn("offset", F.col("offset") + F.when(F.col("number") >= 590, 3).otherwise(0))
+    for depth in range(4):
+        x, y = (merkle.tree(merkle.leaves(t), depth)[depth].toPandas().set_index("node").hash for t in (left, right))
+        assert sorted((x != y)[lambda d: d].index) == sorted({n // 16**depth for n in range(590, 600)})
+
+
 def test_audit_of_small_and_repeated_records(spark):
-    one = spark.createDataFrame([(0, "a")], "number long, record string")
+    schema = "number long, offset long, record string"
+    one = spark.createDataFrame([(0, 0, "a")], schema)
     assert merkle.audit(one, one.limit(0)).count() == 1 and merkle.audit(one.limit(0), one.limit(0)).count() == 0
-    many = spark.createDataFrame([(0, "a"), (0, "b"), (0, "b")], "number long, record string")
-    fewer = spark.createDataFrame([(0, "a"), (0, "a"), (0, "b")], "number long, record string")
+    many = spark.createDataFrame([(0, 0, "a"), (0, 0, "b"), (0, 0, "b")], schema)
+    fewer = spark.createDataFrame([(0, 0, "a"), (0, 0, "a"), (0, 0, "b")], schema)
     assert merkle.audit(many, many.orderBy(F.desc("record"))).count() == 0
     assert [r.status for r in merkle.audit(many, fewer).collect()] == ["corrupt"]
+    none = spark.createDataFrame([(None, None, None), (None, 5, "a"), (1, None, None)], schema)
+    assert merkle.audit(none, none).count() == 0
+    assert [r.status for r in merkle.audit(none, none.filter("number is null")).collect()] == ["missing"]
 
 
 def test_warc_records_of_null_pages(spark):
     pages = spark.createDataFrame([(None, None, None), (1, "u", ""), (2, None, "h" * 10_000), (2, None, "h" * 10_000)], "page_id long, url string, html string")
     got = merkle.warc_records(pages)
     assert got.count() == 4 and got.filter("record is null").count() == 0
+    assert all("\r\nWARC-Date: 2024-01-01T00:00:00Z\r\n" in r.record for r in got.collect())
     assert [r.status for r in merkle.audit(got, got.filter("number >= 0")).collect()] == ["missing"]
