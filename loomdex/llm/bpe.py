@@ -3,13 +3,15 @@
 All unseen pre-tokens of a batch become one flat symbol array. Each round looks every adjacent
 pair up in the sorted pair keys by binary search, finds each word's lowest rank, and merges that
 pair wherever it stands in the word, left to right; words without a known pair leave the array.
+A very long word has as many rounds as it has different ranks to merge. It goes through the same
+rounds by itself, with the lowest rank kept for each block of places, so that a round looks at the
+blocks that have it instead of at the whole word.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-import heapq
 import json
 from collections.abc import Iterator
 
@@ -22,9 +24,10 @@ from . import textnum as tn
 
 #: The public pattern that splits text before byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pre-tokens kept between batches, and the length beyond which one is merged by a heap of its own.
-CACHE_WORDS, LONG_WORD = 300_000, 2000
+#: Pre-tokens kept between batches, and the length beyond which one's rounds go by blocks of so many places.
+CACHE_WORDS, LONG_WORD, BLOCK = 300_000, 2000, 512
 NONE = np.int64(1) << 62
+_UNKNOWN = "\ufffd".encode()
 
 
 def byte_symbols() -> list[str]:
@@ -115,26 +118,35 @@ class Bpe:
         return np.where(inside, self.rank(sym[at], sym[right]), NONE)
 
     def _merge_long(self, piece: bytes) -> list[int]:
-        """The same merges for one very long pre-token, by a heap of (rank, place)."""
+        """The rounds of one long pre-token. Places stay: a merged pair's right place drops out of the chain of those that follow each other."""
+        n = len(piece)
         sym = self.base[np.frombuffer(piece, np.uint8)]
-        ids, n = sym.tolist(), len(sym)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = lambda a, b: int(self.rank(np.array([a]), np.array([b]))[0])
-        heap = [(r, i, a, b) for i, (r, a, b) in enumerate(zip(self.rank(sym[:-1], sym[1:]).tolist(), ids, ids[1:], strict=False)) if r < NONE]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j], after[i] = int(self.made[r]), -1, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if (x := rank(ids[i], ids[after[i]])) < NONE:
-                    heapq.heappush(heap, (x, i, ids[i], ids[after[i]]))
-            if (p := before[i]) >= 0 and (x := rank(ids[p], ids[i])) < NONE:
-                heapq.heappush(heap, (x, p, ids[p], ids[i]))
-        return [x for x in ids if x >= 0]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        there = np.ones(n, bool)
+        rank = np.full(-(-n // BLOCK) * BLOCK, NONE)
+        rank[: n - 1] = self.rank(sym[:-1], sym[1:])
+        blocks = rank.reshape(-1, BLOCK)
+        least = blocks.min(axis=1)
+        while (best := least.min()) < NONE:
+            hit = np.flatnonzero(least == best)
+            row, col = np.nonzero(blocks[hit] == best)
+            at = hit[row] * BLOCK + col
+            chained = after[at[:-1]] == at[1:]
+            if chained.any():  # runs such as aaaa: every second place
+                fresh = np.concatenate([[True], ~chained])
+                number = np.arange(len(at))
+                at = at[(number - number[fresh][np.cumsum(fresh) - 1]) % 2 == 0]
+            gone = after[at]
+            sym[at], after[at], there[gone], rank[gone] = self.made[best], after[gone], False, NONE
+            inside = after[at] < n
+            before[after[at[inside]]] = at[inside]
+            near = np.concatenate([at, before[at]])
+            near = np.unique(near[near >= 0])
+            right = after[near]
+            rank[near] = np.where(right < n, self.rank(sym[near], sym[np.minimum(right, n - 1)]), NONE)
+            touched = np.unique(np.concatenate([near, gone]) // BLOCK)
+            least[touched] = blocks[touched].min(axis=1)
+        return sym[there].tolist()
 
     def _learn(self, new: list[str]) -> None:
         name, raw = self.name_of, self.bytes_of
@@ -167,7 +179,7 @@ class Bpe:
         return [int(i) for ids, _, _ in self.encode_many([text])[0] for i in ids.split(",")]
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(self.bytes_of[i] for i in ids).decode("utf-8", "replace")
+        return b"".join(self.bytes_of.get(i, _UNKNOWN) for i in ids).decode("utf-8", "replace")
 
 
 @functools.lru_cache(2)
@@ -193,8 +205,9 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
 def bpe_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token count and digests of ids and of the decoded text for every row.
 
-    vocabulary is the path of a tokenizer JSON. A null text counts as empty: no ids, digests of the empty string.
-    The vocabulary travels as a broadcast variable; its size is that of the file.
+    vocabulary is the path of a tokenizer JSON. A null text counts as empty: no ids, digests of the empty string. Repeated
+    rows give a row each, an empty table gives none, other columns are ignored. Texts are encoded whole, very long ones and
+    very long words too; memory follows the longest. The vocabulary travels as a broadcast variable; its size is that of the file.
     """
     spark = docs.sparkSession
     tn.small_batches(spark)
@@ -237,7 +250,8 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id and text of every (doc_id, ids) row; null ids decode to the empty text, an unknown id fails."""
+    """doc_id and text of every (doc_id, ids) row; null ids decode to the empty text, and a null or unknown id
+    to the replacement character. Repeated rows give a row each; an empty table gives none."""
     spark = encoded.sparkSession
     tn.small_batches(spark)
     spec = spark.sparkContext.broadcast(read_spec(spark, vocabulary))

@@ -182,6 +182,7 @@ def test_same_ids_as_the_library(library):
     r = random.Random(4)
     chars = "aab e'st\n\t ñ日😀  0129.,!’ ​\x1c\x85"
     texts = ["".join(r.choice([*chars, "<|endoftext|>"]) for _ in range(r.randrange(60))) for _ in range(800)]
+    texts += ["".join(r.choice(x) for _ in range(r.randrange(2000, 9000))) for x in ("ab", "aaab", "thein", "日本a", "=", ".!", "etaoinshrdlu") for _ in range(4)]
     texts += ["a" * 5000, "ab" * 3000 + "<|endoftext|>" * 2 + " x", "", " ", "I'll'LL don't <|endoftext|", "".join(r.choice("etaoin") for _ in range(4000))]
     mine = bpe.Bpe(open(VOCABULARY, encoding="utf-8").read())
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
@@ -196,6 +197,12 @@ def test_broken_utf8_decodes_like_the_library(library):
         assert mine.decode(ids[k:]) == library.decode(ids[k:], skip_special_tokens=False)
 
 
+def test_unknown_ids_decode(spark):
+    df = spark.createDataFrame([(1, [64, 999_999, None]), (2, None), (None, []), (1, [64, 999_999, None])], "doc_id long, ids array<int>")
+    a = bpe.Bpe(open(VOCABULARY, encoding="utf-8").read()).decode([64])
+    assert sorted((r.doc_id or 0, r.text) for r in bpe.bpe_decode(df, VOCABULARY).collect()) == [(0, ""), (1, a + "\ufffd" * 2), (1, a + "\ufffd" * 2), (2, "")]
+
+
 def test_digests_and_round_trip(spark, odd, empty, library):
     got = {(r.doc_id, r.n_tokens): r for r in bpe.bpe_digests(odd, VOCABULARY).collect()}
     for r in odd.collect():
