@@ -1,8 +1,9 @@
 """Word-first language identification with character n-gram backoff.
 
-Known words score by their log frequency in each language. A word that is not known scores by its
-characters: at every place the longest known n-gram (5 down to 1) that starts there counts, so
-unseen words lean on ever shorter strings.
+Known words score by their log frequency in each language. A word that no language knows scores by
+its characters: at every place, in each language, the longest n-gram (5 down to 1) that starts there
+and that the language knows counts, less a penalty for each step down to it. So a language that must
+lean on shorter strings pays for it.
 """
 
 from __future__ import annotations
@@ -20,12 +21,15 @@ from . import textnum as tn
 
 UND = "und"
 NGRAMS = (5, 4, 3, 2, 1)
-#: The classifier is fitted on at most about so many training texts of a language (by hash of the id, whole texts).
-MAX_TEXTS = 2000
-#: Most frequent languages that are learned, and entries kept of the word table and of each n-gram table.
-MAX_LANGS, MAX_ENTRIES = 100, 200_000
-#: Fewest training occurrences of a known word; logarithm taken off for each step to a shorter n-gram.
-MIN_WORD, STEP = 2, 0.4
+#: The classifier is fitted on at most about MAX_TEXTS training texts of a language, and FIT_TEXTS of all languages together, dealt
+#: evenly; texts are taken whole, by hash of the id.
+MAX_TEXTS, FIT_TEXTS = 2000, 20_000
+#: Distinct values of lang beyond which the column can't be one of languages, and fitting fails.
+MANY_LANGS = 10_000
+#: Fewest training occurrences of a known word or n-gram; logarithm taken off for each step to a shorter n-gram.
+MIN_COUNT, STEP = 2, 0.4
+#: Places of unknown words times languages that are scored at a time.
+_CELLS = 1 << 22
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -63,52 +67,80 @@ def _ngrams(words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.
         yield n, place, word[place], (tn.mix(h[place]) >> np.uint64(6)) | _TAG[n]
 
 
+@dataclass
+class Table:
+    """Log frequencies by key and language, for the languages that have the key."""
+
+    keys: np.ndarray  # sorted
+    start: np.ndarray  # where each key's entries begin, and their end
+    lang: np.ndarray
+    log: np.ndarray
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each key of x, and whether it is there."""
+        if not len(self.keys):
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        at = np.searchsorted(self.keys, x)
+        at[at == len(self.keys)] = 0
+        return at, self.keys[at] == x
+
+    def entries(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index into at, language, log) of all entries of the keys at these places."""
+        many = self.start[at + 1] - self.start[at]
+        row = np.repeat(np.arange(len(at)), many)
+        e = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.start[at], many)
+        return row, self.lang[e], self.log[e]
+
+
 @dataclass
 class Model:
     langs: list[str]
-    word_keys: np.ndarray
-    word_log: np.ndarray  # entry, language
-    word_none: np.ndarray  # log frequency of a word that a language lacks
-    gram_keys: np.ndarray
-    gram_log: np.ndarray
-
-    @staticmethod
-    def find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-        at = np.searchsorted(keys, x)
-        at[at == len(keys)] = 0
-        return at, keys[at] == x
+    words: Table
+    word_none: np.ndarray  # by language: log frequency of a word that others know
+    grams: Table
+    gram_none: np.ndarray  # by language: log frequency of a character that it lacks
 
     def word_scores(self, h: np.ndarray, words: list[str]) -> np.ndarray:
         """Log score of each distinct word for each language; words: the text of those that are unknown, by place."""
-        at, known = self.find(self.word_keys, h)
-        out = np.zeros((len(h), len(self.langs)))
-        out[known] = self.word_log[at[known]]
+        at, known = self.words.find(h)
+        out = np.tile(self.word_none, (len(h), 1))
+        here = np.flatnonzero(known)
+        row, lang, log = self.words.entries(at[here])
+        out[here[row], lang] = log
         new = np.flatnonzero(~known)
-        if not len(new):
-            return out
-        texts = [words[i] for i in new]
+        size = np.cumsum([len(words[i]) + 1 for i in new])
+        part = size * len(self.langs) // _CELLS if len(new) else size
+        for p in np.unique(part):
+            mine = new[part == p]
+            out[mine] = self._backoff([words[i] for i in mine])
+        return out
+
+    def _backoff(self, texts: list[str]) -> np.ndarray:
+        """Mean over the places of each word of the log frequency of the longest n-gram that a language knows, less its steps."""
         size = sum(map(len, texts)) + len(texts) + 1
-        left, total, count = np.ones(size, bool), np.zeros((len(new), len(self.langs))), np.zeros(len(new))
+        value = np.full((size, len(self.langs)), np.nan)
+        word_of = np.full(size, -1)
         for k, (_, place, word, g) in enumerate(_ngrams(texts)):
-            todo = left[place]
-            place, word, g = place[todo], word[todo], g[todo]
-            at, hit = self.find(self.gram_keys, g)
-            left[place[hit]] = False
-            np.add.at(total, word[hit], self.gram_log[at[hit]] - STEP * k)
-            np.add.at(count, word[hit], 1)
-        out[new] = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], 0.0)
-        return out
+            word_of[place] = word
+            at, hit = self.grams.find(g)
+            place = place[hit]
+            row, lang, log = self.grams.entries(at[hit])
+            fresh = np.isnan(value[place[row], lang])
+            value[place[row[fresh]], lang[fresh]] = log[fresh] - STEP * k
+        at = np.flatnonzero(word_of >= 0)
+        got = np.where(np.isnan(value[at]), self.gram_none - STEP * len(NGRAMS), value[at])
+        count = np.bincount(word_of[at], minlength=len(texts))
+        total = np.stack([np.bincount(word_of[at], weights=got[:, j], minlength=len(texts)) for j in range(len(self.langs))], axis=1)
+        return total / np.maximum(count, 1)[:, None]
 
     def predict(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the best language and its share, for each lower-cased text; a text without words has share 0."""
+        """Index of the best language (of equal ones the first by name) and its share, for each lower-cased text; a text without words has share 0."""
         n = len(at) - 1
         w, h = _words(buf, at)
         if not len(h) or not self.langs:
             return np.zeros(n, np.int64), np.zeros(n)
         h, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        _, known = self.find(self.word_keys, h)
+        _, known = self.words.find(h)
         raw = buf.tobytes()
         words = ["" if k else raw[a:b].decode("utf-8", "replace") for k, a, b in zip(known, w.start[first], w.end[first], strict=True)]
         scores = self.word_scores(h, words)
@@ -125,19 +157,23 @@ def remainder(n: int, id_col: str = "doc_id") -> Column:
 
 
 def fit(labelled: DataFrame) -> Model:
-    """A model from rows (key, text, lang) with no null lang.
+    """A model from rows (key, text, lang) with no null lang; every language is learned.
 
-    The sample is at most about MAX_TEXTS texts of each of the MAX_LANGS most frequent languages, taken by hash of key;
-    word and n-gram counts over it are grouped sums, of which the most frequent MAX_ENTRIES are sent to the driver.
+    The sample is at most about MAX_TEXTS texts of each language and FIT_TEXTS in all, taken by hash of key, so rows that
+    repeat a key are taken together; word and n-gram counts over it are grouped sums, of which those of MIN_COUNT and more
+    are sent to the driver. No rows give a model without languages; more than MANY_LANGS values of lang are an error.
     """
     spark = labelled.sparkSession
     tn.small_batches(spark)
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    sizes = labelled.groupBy("lang").count().limit(MANY_LANGS + 1).collect()
+    if len(sizes) > MANY_LANGS:
+        raise ValueError(f"lang has more than {MANY_LANGS} values")
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
-        none = np.zeros((0, 0))
-        return Model([], np.zeros(0, np.uint64), none, np.zeros(0), np.zeros(0, np.uint64), none)
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, MAX_TEXTS / r["count"]))))
+        none = Table(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return Model([], none, np.zeros(0), none, np.zeros(0))
+    most = min(MAX_TEXTS, FIT_TEXTS // len(langs))
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, most / r["count"]))))
     number = {x: i for i, x in enumerate(langs)}
     sample = labelled.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20)).select("text", "lang")
     schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("lang", pa.int32()), ("n", pa.int64())])
@@ -162,32 +198,36 @@ def fit(labelled: DataFrame) -> Model:
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(np.full(len(key), k, np.int32)), pa.array(m.astype(np.int64))], schema=schema)
 
     counts = sample.mapInArrow(count, "kind int, key long, lang int, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
-    per = counts.groupBy("kind", "key").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    wide = per.select("kind", "key", "all", *(F.coalesce(F.try_element_at("by", F.lit(k)), F.lit(0)).alias(f"n{k}") for k in range(len(langs))))
-
-    def top(kind: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-        t = wide.filter((F.col("kind") == kind) & (F.col("all") >= least)).orderBy(F.desc("all"), "key").limit(MAX_ENTRIES).toArrow()
-        key = t.column("key").to_numpy().view(np.uint64)
-        n = np.stack([t.column(f"n{k}").to_numpy() for k in range(len(langs))], axis=1).astype(float)
-        order = np.argsort(key)
-        return key[order], n[order]
-
-    def logs(n: np.ndarray) -> np.ndarray:
-        return np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * max(1, len(n))))
-
-    (wk, wn), (gk, gn) = top(0, MIN_WORD), top(1, MIN_WORD)
-    size = (gk >> np.uint64(58)).astype(int)
-    gl = np.zeros(gn.shape)
-    for n in NGRAMS:
-        if (size == n).any():
-            gl[size == n] = logs(gn[size == n])
-    return Model(langs, wk, logs(wn), np.zeros(0), gk, gl)
+    per = counts.groupBy("kind", "key").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")).filter(F.col("all") >= MIN_COUNT)
+    got = per.select("kind", "key", F.col("by.lang").alias("lang"), F.col("by.n").alias("n")).toArrow().combine_chunks()
+    kinds = got.column("kind").to_numpy()
+    keys, many = got.column("key").to_numpy().view(np.uint64), pc.list_value_length(got.column("lang")).to_numpy()
+    lang, n = (pc.list_flatten(got.column(c)).to_numpy() for c in ("lang", "n"))
+    begin = np.cumsum(many) - many
+
+    def table(kind: int) -> tuple[Table, np.ndarray]:
+        """Frequencies are smoothed by half a count, and apart for n-grams of each length. Second: the log of none, for words or single characters."""
+        rows = np.flatnonzero(kinds == kind)
+        rows = rows[np.argsort(keys[rows])]
+        size = many[rows]
+        e = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[rows], size)
+        length = (keys[rows] >> np.uint64(58)).astype(np.int64) if kind else np.zeros(len(rows), np.int64)
+        each = np.repeat(length, size)
+        total = np.zeros((max(NGRAMS) + 1, len(langs)))
+        np.add.at(total, (each, lang[e]), n[e])
+        room = total + 0.5 * np.maximum(np.bincount(length, minlength=len(total)), 1)[:, None]
+        log = np.log((n[e] + 0.5) / room[each, lang[e]])
+        return Table(keys[rows], np.concatenate([[0], np.cumsum(size)]), lang[e].astype(np.int64), log), np.log(0.5 / room[min(NGRAMS) if kind else 0])
+
+    return Model(langs, *table(0), *table(1))
 
 
 def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score (0 to 1) of every row, from its whole text alone.
 
-    `und` and score 0 if the text is null or has no letter, or if no language was learned.
+    `und` and score 0 if the text is null or has no letter, or if no language was learned. Of languages that score alike the
+    first by name is taken. Repeated rows give a row each, an empty table gives none, other columns are ignored, and very
+    long texts are read whole.
     """
     spark = docs.sparkSession
     tn.small_batches(spark)

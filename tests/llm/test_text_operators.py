@@ -50,6 +50,76 @@ def test_language_of_unseen_words(spark):
     assert got[1003].lang_pred in ("en", "fr") and all(0 <= r.score <= 1 for r in got.values())
 
 
+def brute_language(train, texts):
+    """(language, share) of each text by plain dictionaries: words first, then the longest n-gram that a language knows."""
+    import math
+    import re
+    from collections import Counter
+
+    langs = sorted({x for _, x in train})
+    split = lambda t: [w for w in re.findall(r"[a-z\u0080-\U0010ffff]+", t.lower())]
+
+    def places(w):
+        w = f"\n{w}\n"
+        for i in range(len(w)):
+            yield [w[i : i + n] for n in (5, 4, 3, 2, 1) if i + n <= len(w) and w[i : i + n] != "\n"]
+
+    words, grams = {x: Counter() for x in langs}, {x: Counter() for x in langs}
+    for t, x in train:
+        for w in split(t):
+            words[x][w] += 1
+            grams[x].update(g for p in places(w) for g in p)
+    kept = lambda counts: {k for k, n in sum(counts.values(), Counter()).items() if n >= 2}
+    known, shown = kept(words), kept(grams)
+    room_w = {x: sum(n for w, n in words[x].items() if w in known) + 0.5 * len(known) for x in langs}
+    room_g = {(x, k): sum(n for g, n in grams[x].items() if len(g) == k and g in shown) + 0.5 * max(1, sum(len(g) == k for g in shown)) for x in langs for k in range(1, 6)}
+
+    def unknown(w, x):
+        got = []
+        for p in places(w):
+            if p:
+                hit = next((g for g in p if g in shown and grams[x][g]), None)
+                got.append(math.log(0.5 / room_g[x, 1]) - 0.4 * 5 if hit is None else math.log((grams[x][hit] + 0.5) / room_g[x, len(hit)]) - 0.4 * (5 - len(hit)))
+        return sum(got) / len(got)
+
+    for t in texts:
+        ws = split(t)
+        total = {x: sum(math.log((words[x][w] + 0.5) / room_w[x]) if w in known else unknown(w, x) for w in ws) / math.sqrt(max(1, len(ws))) for x in langs}
+        best = max(langs, key=total.get)
+        yield best, 1 / sum(math.exp(v - total[best]) for v in total.values())
+
+
+def test_language_matches_brute_force(spark, monkeypatch):
+    r = random.Random(5)
+    parts = {"aa": ("th", "er", "ing", "on", "日"), "bb": ("eau", "ou", "ière", "on"), "cc": ("sch", "ei", "ung", "er")}
+    make = lambda x: " ".join("".join(r.choice(parts[x]) for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(1, 25)))
+    train = [(make(x), x) for x in parts for _ in range(30)]
+    texts = [make(x) for x in parts for _ in range(25)] + ["zzz", "th", "thschou eau", "日本 x", "ou " * 40]
+    model = lang_id.fit(spark.createDataFrame([(i, *t) for i, t in enumerate(train)], "key long, text string, lang string"))
+    want = list(brute_language(train, texts))
+    for cells in (1 << 22, 50):
+        monkeypatch.setattr(lang_id, "_CELLS", cells)
+        got = lang_id.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+        assert [(r.lang_pred, pytest.approx(r.score)) for r in got] == want
+    apart = lambda x: x - x[:, :1]
+    mild = apart(model._backoff(texts))
+    monkeypatch.setattr(lang_id, "STEP", 5.0)  # the penalty tells languages apart
+    assert np.abs(apart(model._backoff(texts)) - mild).max() > 1
+
+
+def test_many_languages_are_all_learned(spark, monkeypatch):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}word " * 3, f"l{i % 676:03d}") for i in range(1352)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.fit(df.withColumnRenamed("doc_id", "key"))
+    assert len(model.langs) == 676
+    assert all(r.lang_pred == rows[r.doc_id][2] for r in lang_id.detect(df, model).collect())
+    tie = spark.createDataFrame([(0, "same text", "b"), (1, "same text", "a"), (1, "same text", "a"), (0, "same text", "b")], "key long, text string, lang string")
+    assert {r.lang_pred for r in lang_id.detect(tie.withColumnRenamed("key", "doc_id"), lang_id.fit(tie)).collect()} == {"a"}
+    monkeypatch.setattr(lang_id, "MANY_LANGS", 5)
+    with pytest.raises(ValueError):
+        lang_id.fit(df.withColumnRenamed("doc_id", "key"))
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = lang_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
