@@ -24,8 +24,8 @@ BUCKETS = 1 << BITS
 SHAPES = 8  # shape features, of up to 16 bins each, in the first buckets
 #: Distinct labelled texts that the document classifier is fitted on at most.
 FIT_TEXTS = 20_000
-#: Which buckets it uses: texts that have them, standard errors of difference.
-LEAST, SCREEN = 8, 3.5
+#: Which buckets it uses: texts that have them, and the likelihood ratio statistic (G) of their rates in the two classes.
+LEAST, SCREEN = 3, 15.0
 #: Steps, rate, penalty and settling term of its fit.
 STEPS, RATE, PENALTY, SETTLE = 300, 0.1, 5e-5, 1e-4
 #: A document is rejected from this posterior of low quality, or of toxicity, on.
@@ -91,13 +91,13 @@ class Evidence:
 
     @staticmethod
     def _telling(feature: np.ndarray, text: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Whether a bucket stands in LEAST texts and its rates in the two classes differ by SCREEN standard errors."""
-        every = np.bincount(feature, minlength=BUCKETS)
+        """Whether a bucket stands in LEAST texts and its rate of the class differs from that of all texts by a G of SCREEN: a word that
+        few texts have, all of one class, tells too."""
+        every = np.bincount(feature, minlength=BUCKETS).astype(float)
         bad = np.bincount(feature, weights=y[text], minlength=BUCKETS)
-        bads, goods = y.sum(), len(y) - y.sum()
-        spread = np.sqrt(1 / (bad + 0.5) + 1 / (every - bad + 0.5))
-        llr = np.log((bad + 0.5) / (bads + 1.0) * (goods + 1.0) / (every - bad + 0.5))
-        return (every >= LEAST) & (np.abs(llr) > SCREEN * spread)
+        rate = y.mean()
+        share = lambda n, of: n * np.log(np.maximum(n, 1e-9) / np.maximum(of * every, 1e-9))
+        return (every >= LEAST) & (2 * (share(bad, rate) + share(every - bad, 1 - rate)) > SCREEN)
 
     @staticmethod
     def _fit(feature: np.ndarray, text: np.ndarray, y: np.ndarray, size: int) -> tuple[np.ndarray, float]:
@@ -173,13 +173,16 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, car
     """row (a struct of the columns to carry, by default all of docs), host, path, llr_low, llr_toxic, host_low, path_low,
     host_toxic, path_toxic, p_low, p_toxic and kept.
 
-    Rows stay as many as they are. Null and empty texts have shape evidence only; a null host or path is a group of its
-    own. Without labels every rate is 0.5 with no evidence, and nothing is rejected.
+    Rows stay as many as they are; repeated rows count, and are judged, as often as they stand. Null and empty texts have
+    shape evidence only; a null host is a group of its own, apart from the empty one, and so is a null path of its host.
+    Without labels every rate is 0.5 with no evidence, and nothing is rejected; a posterior of just REJECT is kept. A document
+    with several labels has the worst of them. An empty table gives no rows; very long texts are read whole; columns of
+    docs travel in row, so their names can't clash.
     """
     spark = docs.sparkSession
     evidence = fit(docs, labels)
     sent = spark.sparkContext.broadcast(evidence)
-    site = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in ((host, "host"), (path, "path"))]
+    site = [c.cast("string").alias(n) for c, n in ((host, "host"), (path, "path"))]
 
     def scored(columns: list[str]) -> DataFrame:
         """Evidence beside the columns, in one pass that holds no rows back."""
@@ -204,10 +207,10 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, car
     shrunk = lambda h, to, m: (F.col(f"s_{h}") + m * to) / (F.col("n") + m)
     strength = {h: (_strength(hosts, h, rates[h]), _strength(paths, h, rates[h])) for h in HEADS}
     hosts = hosts.select("host", *(shrunk(h, F.lit(rates[h]), strength[h][0]).alias(f"host_{h}") for h in HEADS))
-    sites = paths.join(hosts, "host").select("host", "path", *(f"host_{h}" for h in HEADS), *(shrunk(h, F.col(f"host_{h}"), strength[h][1]).alias(f"path_{h}") for h in HEADS))
+    sites = paths.join(hosts.withColumnRenamed("host", "_h"), F.col("host").eqNullSafe(F.col("_h"))).select("host", "path", *(f"host_{h}" for h in HEADS), *(shrunk(h, F.col(f"host_{h}"), strength[h][1]).alias(f"path_{h}") for h in HEADS))
     sites = sites.withColumnsRenamed({"host": "_h", "path": "_p"})
     small = paths.limit(SENT_GROUPS + 1).count() <= SENT_GROUPS
-    on = (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p"))
+    on = F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p"))
     rows = scored(docs.columns if carry is None else carry)
     if small:
         rows = rows.join(F.broadcast(sites), on)
@@ -221,8 +224,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, car
 
 
 def by_source(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """classify() with a document's source as host and its source and language as path."""
-    return classify(docs, labels, F.col("source"), F.concat_ws("/", F.col("source"), F.col("lang")), carry)
+    """classify() with a document's source as host and its source and language as path: null if either is."""
+    return classify(docs, labels, F.col("source"), F.concat("source", F.lit("/"), "lang"), carry)
 
 
 OUTPUT = ("row.doc_id", "host", "path", "llr_low", "llr_toxic", "host_low", "path_low", "host_toxic", "path_toxic", "p_low", "p_toxic", "kept")
