@@ -6,15 +6,21 @@ children's at every depth. The trained tree depends on the training texts throug
 (context, byte) alone, so the model is made from n-gram counts, and a text's code length is a sum
 of one value per n-gram.
 
-Nothing of the model is held whole anywhere. Documents are dealt into chunks by hash; a chunk asks
-once for each distinct word and n-gram it holds. Requests meet in hash buckets, where counts are
-summed; the values go back to the chunk. Subtrees below two context bytes are weighted in groups;
-the nodes above (256 x 255 at most) are shared by all.
+Nothing of the model is held whole anywhere. A task packs the documents it reads into chunks, and a
+chunk asks once for each distinct word and n-gram it holds. Requests go in two steps: those of SPREAD
+chunks meet in cells, one for each of RANGES ranges of the key space, and are merged there; what cells
+ask for then meets in buckets, where counts are summed. So each step deals a task's keys to a bounded
+number of places, or to those of one range. Subtrees below three context bytes are weighted in
+parts, each context whole, since so few n-grams can follow one; the depth above is summed over the
+parts and joined back to them, and the two above that (256 x 255 nodes at most) are shared by all.
+Values go back the way that the requests came.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +33,14 @@ from .store import written
 
 #: Context bytes. A key holds them and the byte itself, and with a text's number in its slice it fits 64 bits.
 DEPTH = 5
+#: Text bytes of a chunk and of what is worked on at a time.
 CHUNK_BYTES, SLICE_BYTES = 16 << 20, 1 << 20
+#: Ranges of the key space, chunks whose requests meet in a cell, requested keys of a bucket, and distinct n-grams of a part.
+RANGES, SPREAD, BUCKET_KEYS, PART_KEYS = 64, 64, 1 << 20, 1 << 18
+#: Context bytes below which a subtree is weighted in one part.
+SPLIT = 3
 END = 255  # no byte of UTF-8
-WORD, GRAM = 0, 1
+WORD, GRAM, TEXT = 0, 1, 2
 _U = np.uint64
 
 
@@ -81,7 +92,7 @@ class Level:
 
     def parents(self) -> tuple[Level, np.ndarray]:
         """The level above, and the place in it of each node's parent."""
-        up, at = np.unique(((self.ids >> _U(16)) << _U(8)) | (self.ids & _U(255)), return_inverse=True)
+        up, at = np.unique(_up(self.ids), return_inverse=True)
         add = lambda v: np.bincount(at, weights=v, minlength=len(up))
         return Level(up, add(self.a), add(self.b), add(self.weighted)), at
 
@@ -100,12 +111,17 @@ def _deepest(key: np.ndarray, n: np.ndarray) -> tuple[Level, np.ndarray, np.ndar
     return Level(up, np.bincount(at, weights=many * (bit == 0), minlength=len(up)), np.bincount(at, weights=many * (bit == 1), minlength=len(up)), None), at, bit
 
 
+def _up(ids: np.ndarray) -> np.ndarray:
+    """Ids of the parents."""
+    return ((ids >> _U(16)) << _U(8)) | (ids & _U(255))
+
+
 def subtree_tops(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(id at depth 1, a, b, log weight) summed over the depth-2 nodes of these n-grams, whose subtrees must be whole."""
+    """(id at depth SPLIT - 1, a, b, log weight) summed over the depth-SPLIT nodes of these n-grams, whose subtrees must be whole."""
     level = _deepest(key, n)[0]
-    for _ in range(DEPTH - 2):
+    for _ in range(DEPTH - SPLIT):
         level = level.parents()[0]
-    up, at = np.unique(((level.ids >> _U(16)) << _U(8)) | (level.ids & _U(255)), return_inverse=True)
+    up, at = np.unique(_up(level.ids), return_inverse=True)
     return up, *(np.bincount(at, weights=v, minlength=len(up)) for v in (level.a, level.b, level.weighted))
 
 
@@ -124,17 +140,21 @@ class Top:
             self.levels.append(dense)
 
 
-def predict(key: np.ndarray, n: np.ndarray, top: Top) -> np.ndarray:
-    """log10 probability of each n-gram's byte after its context, under the weighted tree."""
+def predict(key: np.ndarray, n: np.ndarray, joined: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], top: Top) -> np.ndarray:
+    """log10 probability of each n-gram's byte after its context, under the weighted tree. joined: id (sorted), a, b and stop of the nodes at depth SPLIT - 1."""
     level, at, bit = _deepest(key, n)
     one = lambda a, b: (np.where(bit == 0, a, b) + 0.5) / (a + b + 1.0)
     p = one(level.a[at], level.b[at])
-    for _ in range(DEPTH - 2):
+    for _ in range(DEPTH - SPLIT):
         level, up = level.parents()
         at = up[at]
         p = level.stop[at] * one(level.a[at], level.b[at]) + (1 - level.stop[at]) * p
-    ids = level.ids[at]
-    for dense, i in zip(top.levels, (((ids >> _U(16)) << _U(8)) | (ids & _U(255)), ids & _U(255)), strict=True):
+    ids = _up(level.ids)
+    i = np.searchsorted(joined[0], ids)[at]
+    a, b, stop = (x[i] for x in joined[1:])
+    p = stop * one(a, b) + (1 - stop) * p
+    ids = ids[at]
+    for dense, i in zip(top.levels, (_up(ids), ids & _U(255)), strict=True):
         a, b, stop = dense[:, i.astype(np.int64)]
         p = stop * one(a, b) + (1 - stop) * p
     return np.log10(p).reshape(8, -1).sum(axis=0)
@@ -173,118 +193,192 @@ def _counts(x: bytes) -> np.ndarray:
     return _read(x, np.uint32).astype(np.float64)
 
 
-def _group_of(key: np.ndarray, n: int) -> np.ndarray:
-    """Group of an n-gram's two nearest context bytes."""
-    return (tn.mix(key >> _U(8 * (DEPTH - 1))) % _U(n)).astype(np.int64)
+def _context(key: np.ndarray) -> np.ndarray:
+    """Hash of an n-gram's SPLIT nearest context bytes."""
+    return tn.mix(key >> _U(8 * (DEPTH + 1 - SPLIT)))
+
+
+def _range(kind: int, key: np.ndarray) -> np.ndarray:
+    """Range of a key: n-grams of a context share one."""
+    return ((_context(key) if kind == GRAM else tn.mix(key)) % _U(RANGES)).astype(np.int64)
+
+
+def _cut(place: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+    """(place, columns of its rows) for each place that occurs, rows in the order they had."""
+    if not len(place):
+        return []
+    order = np.argsort(place, kind="stable")
+    place, columns = place[order], [c[order] for c in columns]
+    cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    return [(int(place[i]), *(c[i:j] for c in columns)) for i, j in zip(cut, np.append(cut[1:], len(place)), strict=True)]
 
 
-_REQ = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+def _pack(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+_ASKED = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("range", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("body", pa.binary())])
+_CELL = pa.schema([("kind", pa.int32()), ("range", pa.int32()), ("cell", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+_TOTAL = pa.schema([("kind", pa.int32()), ("range", pa.int32()), ("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("seen", pa.int64()), ("total", pa.float64())])
+_PART = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("values", pa.binary())])
+_TOP = pa.schema([("part", pa.int64()), ("id", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("s", pa.float64())])
+_LEVEL = pa.schema([("id", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("s", pa.float64()), ("stop", pa.float64())])
+_VALUE = pa.schema([("kind", pa.int32()), ("range", pa.int32()), ("bucket", pa.int64()), ("keys", pa.binary()), ("values", pa.binary())])
+_BACK = pa.schema([("kind", pa.int32()), ("range", pa.int32()), ("cell", pa.int64()), ("keys", pa.binary()), ("values", pa.binary())])
+_ANSWER = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("n_bytes", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
 
+def _ddl(schema: pa.Schema) -> str:
+    names = {pa.int32(): "int", pa.int64(): "long", pa.float64(): "double", pa.binary(): "binary", pa.bool_(): "boolean"}
+    return ", ".join(f"`{f.name}` {names[f.type]}" for f in schema)
+
+
 def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
+def _ask(batches: list[pa.RecordBatch]) -> pa.Table:
+    """A chunk's rows: its texts, packed, and its requests by range."""
+    t = pa.Table.from_batches(batches)
+    chunk = uuid.uuid4().int >> 65
+    train = (~t.column("held_out").to_numpy()).astype(float)
+    found: dict[int, tuple[list, list]] = {WORD: ([], []), GRAM: ([], [])}
+    for i, j, buf, at in tn.slices(t.column("text"), SLICE_BYTES):
+        low = tn.LOWER[buf]
+        w = tn.words(low, at)
+        for kind, (key, doc) in ((WORD, (tn.hashes(low, w.start, w.end), w.doc)), (GRAM, ngrams(low, at))):
+            for part in (0, 1):  # training texts, then the others, which ask without adding
+                mine = key[train[i:j][doc] == 1 - part]
+                mine.sort()
+                first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]])) if len(mine) else np.zeros(0, np.int64)
+                found[kind][0].append(mine[first])
+                found[kind][1].append(np.diff(np.append(first, len(mine))) * float(1 - part))
+    out = [(TEXT, chunk, 0, None, None, _pack(t))]
+    for kind, (keys, values) in found.items():
+        key, count = _merge(keys, values)
+        out += [(kind, chunk, r, _blob(k), _blob(c), None) for r, k, c in _cut(_range(kind, key), key, count.astype(np.uint32))]
+    return _table(_ASKED, out)
+
+
+def _all_keys(t: pa.Table) -> np.ndarray:
+    return np.concatenate([_keys(x) for x in t.column("keys").to_pylist()])
+
+
+def _looked_up(have: pa.Table):
+    """A function from keys to their values in have."""
+    key, value = _all_keys(have), np.concatenate([_floats(x) for x in have.column("values").to_pylist()])
+    order = np.argsort(key)
+    key, value = key[order], value[order]
+    return lambda k: value[np.searchsorted(key, k)]
+
+
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: token counts, the smoothed unigram base_score and the context-tree score (log10), and bits per byte.
 
     Training texts are those with held_out false. A null text is empty: one token (the end), and the end symbol's
     score. With no training rows every count is zero and both models are uniform. Repeated rows count as often as
-    they stand, and give a row each.
+    they stand, and give a row each; an empty table gives none; other columns are ignored. Texts are whole: one longer than
+    CHUNK_BYTES is a chunk of its own. Sets the session's Arrow batch to textnum.ARROW_ROWS rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held_out.alias("held_out"))
-    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.when(~F.col("held_out"), 1)).alias("texts")).first()
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = max(least, math.ceil((size["bytes"] or 0) / CHUNK_BYTES))
-    n_end = size["texts"]
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
-
-    def ask(t: pa.Table) -> pa.Table:
-        chunk = t.column("chunk")[0].as_py()
-        train = (~t.column("held_out").to_numpy()).astype(float)
-        found: dict[int, tuple[list, list]] = {WORD: ([], []), GRAM: ([], [])}
-        for i, j, buf, at in tn.slices(t.column("text"), SLICE_BYTES):
-            low = tn.LOWER[buf]
-            w = tn.words(low, at)
-            for kind, (key, doc) in ((WORD, (tn.hashes(low, w.start, w.end), w.doc)), (GRAM, ngrams(low, at))):
-                for part in (0, 1):  # training texts, then the others, which ask without adding
-                    mine = key[train[i:j][doc] == 1 - part]
-                    mine.sort()
-                    first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]])) if len(mine) else np.zeros(0, np.int64)
-                    found[kind][0].append(mine[first])
-                    found[kind][1].append(np.diff(np.append(first, len(mine))) * float(1 - part))
-        out = []
-        for kind, (keys, values) in found.items():
-            key, count = _merge(keys, values)
-            if not len(key):
-                continue
-            bucket = (tn.mix(key) % _U(n)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            key, count, bucket = key[order], count[order], bucket[order]
-            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            out += [(kind, int(bucket[a]), chunk, _blob(key[a:b]), _blob(count[a:b].astype(np.uint32))) for a, b in zip(cut, np.append(cut[1:], len(key)), strict=True)]
-        return _table(_REQ, out)
+    tn.small_batches(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
 
-    asked = written(rows.groupBy("chunk").applyInArrow(ask, "kind int, bucket long, chunk long, keys binary, counts binary"))
-
-    total_schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("seen", pa.int64()), ("total", pa.float64())])
-
-    def add(t: pa.Table) -> pa.Table:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.column(1).nbytes
+            if size >= CHUNK_BYTES:
+                yield from _ask(held).to_batches()
+                held, size = [], 0
+        if held:
+            yield from _ask(held).to_batches()
+
+    # Written before anything else reads it: chunks are numbered at random, and which documents share one depends on the task.
+    asked = written(rows.mapInArrow(ask, _ddl(_ASKED)))
+    size = asked.agg(F.count(F.when(F.col("kind") == TEXT, 1)).alias("chunks"), F.sum(F.when(F.col("kind") == GRAM, F.octet_length("keys") / 8)).alias("keys")).first()
+    cells = max(1, math.ceil(size["chunks"] / SPREAD))
+    buckets = max(1, math.ceil((size["keys"] or 0) / (RANGES * BUCKET_KEYS)))
+    requests = asked.filter(F.col("kind") < TEXT).select("kind", "range", F.pmod(F.xxhash64("chunk"), F.lit(cells)).alias("cell"), "chunk", "keys", "counts")
+    n_end = rows.filter(~F.col("held_out")).count()
+
+    def meet(t: pa.Table) -> pa.Table:
+        kind, r, cell = (t.column(c)[0].as_py() for c in ("kind", "range", "cell"))
         key, count = _merge([_keys(x) for x in t.column("keys").to_pylist()], [_counts(x) for x in t.column("counts").to_pylist()])
-        return _table(total_schema, [(t.column("kind")[0].as_py(), t.column("bucket")[0].as_py(), _blob(key), _blob(count), int((count > 0).sum()), float(count.sum()))])
-
-    totals = written(asked.groupBy("kind", "bucket").applyInArrow(add, "kind int, bucket long, keys binary, counts binary, seen long, total double"))
-    stats = totals.filter(F.col("kind") == WORD).agg(F.sum("seen").alias("v"), F.sum("total").alias("n")).first()
-    n_train = int(stats["n"] or 0) + n_end
-    vocabulary = int(stats["v"] or 0) + (n_end > 0)
+        place = (tn.mix(key ^ _U(0x5851F42D4C957F2D)) % _U(buckets)).astype(np.int64)
+        return _table(_CELL, [(kind, r, cell, b, _blob(k), _blob(c)) for b, k, c in _cut(place, key, count)])
 
-    # context trees: n-grams by their two nearest context bytes
-    part_schema = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("values", pa.binary())])
+    met = written(requests.select("kind", "range", "cell", "keys", "counts").groupBy("kind", "range", "cell").applyInArrow(meet, _ddl(_CELL)))
 
-    def deal(batches):
+    def add(t: pa.Table) -> pa.Table:
+        key, count = _merge([_keys(x) for x in t.column("keys").to_pylist()], [_floats(x) for x in t.column("counts").to_pylist()])
+        return _table(_TOTAL, [(*(t.column(c)[0].as_py() for c in ("kind", "range", "bucket")), _blob(key), _blob(count), int((count > 0).sum()), float(count.sum()))])
+
+    totals = written(met.groupBy("kind", "range", "bucket").applyInArrow(add, _ddl(_TOTAL)))
+    stats = totals.groupBy("kind").agg(F.sum("seen").alias("v"), F.sum("total").alias("n"), F.sum(F.octet_length("keys") / 8).alias("keys")).collect()
+    by_kind = {r["kind"]: r for r in stats}
+    n_train = n_end + (int(by_kind[WORD]["n"]) if WORD in by_kind else 0)
+    vocabulary = (n_end > 0) + (int(by_kind[WORD]["v"]) if WORD in by_kind else 0)
+    in_range = max(1, math.ceil((by_kind[GRAM]["keys"] if GRAM in by_kind else 0) / (RANGES * PART_KEYS)))
+
+    # context trees: n-grams by their SPLIT nearest context bytes; a range's go to parts of that range
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                key, count = _keys(b.column(1)[r].as_py()), _floats(b.column(2)[r].as_py())
-                part = _group_of(key, 4 * n)  # a group is expanded eightfold and more, so groups are small
-                out = [(int(p), b.column(0)[r].as_py(), _blob(key[part == p]), _blob(count[part == p])) for p in np.unique(part)]
-                yield from _table(part_schema, out).to_batches()
+                key, count = _keys(b.column(2)[r].as_py()), _floats(b.column(3)[r].as_py())
+                part = ((_context(key) >> _U(32)) % _U(in_range)).astype(np.int64) * RANGES + b.column(0)[r].as_py()
+                yield from _table(_PART, [(p, b.column(1)[r].as_py(), _blob(k), _blob(c)) for p, k, c in _cut(part, key, count)]).to_batches()
 
-    parts = totals.filter(F.col("kind") == GRAM).select("bucket", "keys", "counts").mapInArrow(deal, "part long, bucket long, keys binary, values binary")
-    top_schema = pa.schema([("id", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("s", pa.float64())])
+    parts = totals.filter(F.col("kind") == GRAM).select("range", "bucket", "keys", "counts").mapInArrow(deal, _ddl(_PART))
 
     def gathered(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return np.concatenate([_keys(x) for x in t.column("keys").to_pylist()]), np.concatenate([_floats(x) for x in t.column("values").to_pylist()])
+        return _all_keys(t), np.concatenate([_floats(x) for x in t.column("values").to_pylist()])
 
     def tops(t: pa.Table) -> pa.Table:
         ids, a, b, s = subtree_tops(*gathered(t))
-        return pa.Table.from_arrays([pa.array(ids.astype(np.int64)), pa.array(a), pa.array(b), pa.array(s)], schema=top_schema)
+        return pa.Table.from_arrays([pa.array(np.full(len(ids), t.column("part")[0].as_py())), pa.array(ids.astype(np.int64)), pa.array(a), pa.array(b), pa.array(s)], schema=_TOP)
 
-    above = parts.groupBy("part").applyInArrow(tops, "id long, a double, b double, s double").groupBy("id").agg(*(F.sum(c).alias(c) for c in "abs")).toArrow()  # 256 x 255 rows at most
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            level = Level(*(t.column(c).to_numpy(zero_copy_only=False) for c in range(4)))
+            yield pa.RecordBatch.from_arrays([*(t.column(c) for c in range(3)), pa.array(level.weighted), pa.array(level.stop)], schema=_LEVEL)
+
+    below = written(parts.groupBy("part").applyInArrow(tops, _ddl(_TOP)))
+    level = written(below.groupBy("id").agg(*(F.sum(c).alias(c) for c in "abs")).mapInArrow(weigh, _ddl(_LEVEL)))
+    up = F.shiftleft(F.shiftright("id", 16), 8).bitwiseOR(F.col("id").bitwiseAND(F.lit(255)))
+    above = level.groupBy(up.alias("id")).agg(*(F.sum(c).alias(c) for c in "abs")).toArrow()  # 256 x 255 rows at most
     top = spark.sparkContext.broadcast(Top(above.column("id").to_numpy().astype(np.uint64), *(above.column(c).to_numpy() for c in "abs")))
 
-    def values(t: pa.Table) -> pa.Table:
+    def values(t: pa.Table, have: pa.Table) -> pa.Table:
         key, count = gathered(t)
-        value = predict(key, count, top.value)
-        size = np.array([len(x) // 8 for x in t.column("keys").to_pylist()])
-        cut = np.concatenate([[0], np.cumsum(size)])
-        return _table(value_schema, [(GRAM, b, _blob(key[i:j]), _blob(value[i:j])) for b, i, j in zip(t.column("bucket").to_pylist(), cut, cut[1:], strict=False)])
+        ids = have.column("id").to_numpy()
+        order = np.argsort(ids)
+        value = predict(key, count, (ids[order].astype(np.uint64), *(have.column(c).to_numpy()[order] for c in ("a", "b", "stop"))), top.value)
+        cut = np.concatenate([[0], np.cumsum([len(x) // 8 for x in t.column("keys").to_pylist()])])
+        r = t.column("part")[0].as_py() % RANGES
+        return _table(_VALUE, [(GRAM, r, b, _blob(key[i:j]), _blob(value[i:j])) for b, i, j in zip(t.column("bucket").to_pylist(), cut, cut[1:], strict=False)])
 
-    value_schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("keys", pa.binary()), ("values", pa.binary())])
-    known = parts.groupBy("part").applyInArrow(values, "kind int, bucket long, keys binary, values binary")
-    known = known.unionByName(totals.filter(F.col("kind") == WORD).select("kind", "bucket", "keys", F.col("counts").alias("values")))
+    joined = below.select("part", "id").join(level.select("id", "a", "b", "stop"), "id")
+    known = parts.groupBy("part").cogroup(joined.groupBy("part")).applyInArrow(values, _ddl(_VALUE))
+    known = known.unionByName(totals.filter(F.col("kind") == WORD).select("kind", "range", "bucket", "keys", F.col("counts").alias("values")))
 
-    answer_schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())])
+    def to_cells(want: pa.Table, have: pa.Table) -> pa.Table:
+        of = _looked_up(have)
+        kind, r = (want.column(c)[0].as_py() for c in ("kind", "range"))
+        return _table(_BACK, [(kind, r, cell, k, _blob(of(_keys(k)))) for cell, k in zip(want.column("cell").to_pylist(), want.column("keys").to_pylist(), strict=True)])
 
-    def answer(want: pa.Table, have: pa.Table) -> pa.Table:
-        key = np.concatenate([_keys(x) for x in have.column("keys").to_pylist()])
-        value = np.concatenate([_floats(x) for x in have.column("values").to_pylist()])
-        order = np.argsort(key)
-        key, value = key[order], value[order]
-        return _table(answer_schema, [(c, k, x, _blob(value[np.searchsorted(key, _keys(x))])) for c, k, x in zip(want.column("chunk").to_pylist(), want.column("kind").to_pylist(), want.column("keys").to_pylist(), strict=True)])
+    def to_chunks(want: pa.Table, have: pa.Table) -> pa.Table:
+        of, kind = _looked_up(have), want.column("kind")[0].as_py()
+        return _table(_ANSWER, [(chunk, kind, k, _blob(of(_keys(k)))) for chunk, k in zip(want.column("chunk").to_pylist(), want.column("keys").to_pylist(), strict=True)])
 
-    answers = asked.select("kind", "bucket", "chunk", "keys").groupBy("kind", "bucket").cogroup(known.groupBy("kind", "bucket")).applyInArrow(answer, "chunk long, kind int, keys binary, values binary")
+    place, cell = ("kind", "range", "bucket"), ("kind", "range", "cell")
+    back = met.select(*place, "cell", "keys").groupBy(*place).cogroup(known.groupBy(*place)).applyInArrow(to_cells, _ddl(_BACK))
+    answers = requests.select(*cell, "chunk", "keys").groupBy(*cell).cogroup(back.groupBy(*cell)).applyInArrow(to_chunks, _ddl(_ANSWER))
 
     room = n_train + vocabulary + 1
 
@@ -294,6 +388,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         for kind in (WORD, GRAM):
             mine = [i for i, k in enumerate(kinds) if k == kind]
             tables[kind] = _merge([_keys(have.column("keys")[i].as_py()) for i in mine], [_floats(have.column("values")[i].as_py()) for i in mine])
+        t = pa.ipc.open_stream(t.column("body")[0].as_buffer()).read_all()
         ids, held = t.column("doc_id").combine_chunks(), t.column("held_out").combine_chunks()
         out = []
         for i, j, buf, at in tn.slices(t.column("text"), SLICE_BYTES):
@@ -315,7 +410,10 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
                 [ids.slice(i, m), held.slice(i, m), pa.array(w.counts() + 1), pa.array(seen), pa.array(np.full(m, n_train)), pa.array(size), pa.array(base), pa.array(total), pa.array(-total * math.log2(10) / np.maximum(size, 1))], schema=_OUT))
         return pa.Table.from_batches(out, schema=_OUT)
 
-    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, ", ".join(f"{f.name} {'boolean' if f.type == pa.bool_() else 'long' if f.type == pa.int64() else 'double'}" for f in _OUT))
+    # more tasks than chunks, so that few get several
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * size["chunks"])
+    texts = asked.filter(F.col("kind") == TEXT).select("chunk", "body").repartition(tasks, "chunk")
+    return texts.groupBy("chunk").cogroup(answers.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(finish, _ddl(_OUT))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:

@@ -91,6 +91,17 @@ def test_brute_force(spark, prose):
     check(spark, [prose(20, i) for i in range(20)] + ["", None, "Ünï 日本 A a", "a", "A", "aaaa", "\n \t"])
 
 
+def test_many_chunks_cells_and_buckets(spark, prose, monkeypatch):
+    """The same scores whatever the number of chunks, cells, buckets and parts; repeated rows go wherever they stand."""
+    texts = [prose(30, i % 17) for i in range(60)] + ["", "x" * 3000]
+    df = spark.createDataFrame([(i % 40, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    plain = lambda: sorted((r.doc_id, r.n_bytes, r.n_known, round(r.base_score, 9), round(r.score, 8)) for r in lm_score.score_documents(df).collect())
+    want = plain()
+    for name, value in (("CHUNK_BYTES", 500), ("SPREAD", 3), ("BUCKET_KEYS", 10), ("PART_KEYS", 20)):
+        monkeypatch.setattr(lm_score, name, value)
+    assert plain() == want and len(want) == len(texts)
+
+
 def test_log_gamma():
     x = np.array([0.5, 1.0, 1.5, 10.25, 1e3, 1e7])
     assert lm_score.lgamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-11, abs=1e-11)
@@ -102,8 +113,11 @@ def test_bytes_of_a_context_sum_to_one():
     ctx = key[3] >> np.uint64(8) << np.uint64(8)
     every = ctx | np.arange(256, dtype=np.uint64)
     both, count = lm_score._merge([key, every], [n.astype(float), np.zeros(256)])
-    top = lm_score.Top(*lm_score.subtree_tops(both, count))
-    p = 10 ** lm_score.predict(both, count, top)
+    ids, a, b, below = lm_score.subtree_tops(both, count)
+    two = lm_score.Level(ids, a, b, below)
+    one, at = np.unique(lm_score._up(ids), return_inverse=True)
+    top = lm_score.Top(one, *(np.bincount(at, weights=x) for x in (a, b, two.weighted)))
+    p = 10 ** lm_score.predict(both, count, (ids, a, b, two.stop), top)
     assert p[np.searchsorted(both, every)].sum() == pytest.approx(1.0)
 
 
