@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from datetime import timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +75,11 @@ class WebIndex:
         finally:
             found.unpersist()
 
+    @staticmethod
+    def json_of(response: dict) -> str:
+        """A response as JSON text; times are ISO-8601 in UTC."""
+        return json.dumps(response, ensure_ascii=False, default=lambda t: t.replace(tzinfo=t.tzinfo or timezone.utc).isoformat())
+
     def text_of(self, response: dict) -> str:
         """A response as text: `[url](title)`, the description and an empty line for each result."""
         return "".join(f"[{r['url']}]({r['title']})\n{r['description']}\n\n" for r in response["results"]).strip()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from contextlib import suppress
 from datetime import datetime, timezone
 from email.utils import parsedate_to_datetime
 from html import unescape
@@ -152,6 +153,17 @@ def rfc2822(raw: str | None) -> datetime | None:
     return (got if got.tzinfo else got.replace(tzinfo=timezone.utc)).astimezone(timezone.utc).replace(tzinfo=None)
 
 
+def _rfc2822_all(raw: pd.Series) -> pd.Series:
+    return pd.to_datetime(raw.map(rfc2822, na_action="ignore"))
+
+
+def rfc2822_udf(raw):
+    """rfc2822() of a column."""
+    from pyspark.sql import functions as F
+
+    return F.pandas_udf(_rfc2822_all, "timestamp")(raw)
+
+
 class _Strip(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -206,12 +218,22 @@ class _Node:
         return next((d for n in names if (d := rfc2822(self.text(n))) is not None), None)
 
 
+def _read(xml: str) -> ET.Element | None:
+    """The root of a document, with what was read before a fault; none if that is nothing."""
+    root, parser = None, ET.XMLPullParser(["start"])
+    with suppress(ET.ParseError):
+        parser.feed(xml)
+        for _, e in parser.read_events():
+            root = e if root is None else root
+    return root
+
+
 def parse_feed(feed_url: str, xml: str) -> dict:
-    """Metadata and accepted items (at most MAX_ITEMS, in document order) of a feed; malformed XML gives no items and ok false."""
+    """Metadata and accepted items (at most MAX_ITEMS, in document order) of a feed. Of malformed XML counts what stands before the
+    fault; ok is false where that is no element at all."""
     none = {"name": "", "link": "", "image_url": "", "last_published": None, "items": [], "ok": False}
-    try:
-        root = ET.fromstring(xml.strip())
-    except ET.ParseError:
+    root = _read(xml.strip())
+    if root is None:
         return none
     prefixes = {uri: p for p, uri in _PREFIX.findall(xml)}
     top = _Node(root, prefixes)

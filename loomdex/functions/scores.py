@@ -76,6 +76,12 @@ def textless(score: Column, matched: Column, total: int) -> Column:
     return p["text"] * F.log1p(F.greatest(score, F.lit(0.0))) + p["coverage"] * matched / F.lit(float(total)) + F.when(matched == total, F.lit(p["all_terms"])).otherwise(F.lit(0.0))
 
 
+def iso(stamp: Column) -> Column:
+    """ISO-8601 text of a UTC timestamp; a fraction of a second only where there is one."""
+    whole, part = F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss"), F.date_format(stamp, ".SSSSSS")
+    return F.when(part == ".000000", F.concat(whole, F.lit("+00:00"))).otherwise(F.concat(whole, part, F.lit("+00:00")))
+
+
 def _ascii_runs(text: str) -> list[str]:
     import re
 

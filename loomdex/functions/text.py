@@ -151,6 +151,11 @@ def _derived(w: str) -> str:
 
 @F.pandas_udf(T.StringType())
 def stem_udf(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Stems of a column of distinct terms."""
+    """Stems of a column; each term of a batch is stemmed once."""
     for s in words:
-        yield s.map(stem, na_action="ignore")
+        yield s.map({w: stem(w) for w in s.dropna().unique()}, na_action="ignore")
+
+
+def stem_prefix(stemmed: str) -> str:
+    """What every term with this stem begins with: stemming changes a term's end alone, and puts back two letters at most."""
+    return stemmed[:1] if stemmed in IRREGULAR.values() else stemmed[: max(1, len(stemmed) - 2)]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit
+from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,13 +19,14 @@ TWO_PART_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "
 def normalize_url(raw: str, base: str | None = None) -> str:
     """Canonical form of a URL, resolved against base if given: lower-case scheme (https if none) and authority, single
     slashes, no fragment, no tracking or blank parameters. A bare path counts as the authority. Bad URLs raise ValueError."""
-    u = urlsplit((urljoin(base, raw) if base is not None else raw).strip())
-    authority, path = u.netloc.lower(), u.path or "/"
-    if not authority and u.path:
-        authority, path = u.path.lower(), ""
-    kept = [kv for kv in parse_qsl(u.query) if kv[0].lower() not in TRACKING]
-    path = re.sub("/{2,}", "/", path)
-    return u._replace(scheme=u.scheme.lower() or "https", netloc=authority, path=path, query=urlencode(kept), fragment="").geturl()
+    whole = raw if base is None else urljoin(base, raw)
+    parts = urlsplit(whole.strip())
+    wanted = urlencode([(k, v) for k, v in parse_qsl(parts.query) if k.lower() not in TRACKING])
+    if parts.netloc or not parts.path:
+        place = (parts.netloc.lower(), re.sub("/+", "/", parts.path) or "/")
+    else:
+        place = (parts.path.lower(), "")
+    return urlunsplit((parts.scheme.lower() or "https", *place, wanted, ""))
 
 
 def _or_none(raw: str | None, base: str | None = None) -> str | None:

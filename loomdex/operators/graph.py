@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
 DAMPING, ITERATIONS, CHECKPOINT_EVERY = 0.85, 20, 5
 
 
@@ -31,7 +33,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame, iterations: int = ITERATIONS, d
     folder; cached tables are recomputed where an executor is lost.
     """
     spark = edges.sparkSession
-    shared_checkpoint_dir(spark)
+    shared.checkpoints(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     nodes = nodes.select("id").distinct().repartition(parts, "id").cache()
     n = nodes.count()
@@ -45,8 +47,11 @@ def pagerank(edges: DataFrame, nodes: DataFrame, iterations: int = ITERATIONS, d
     for i in range(iterations):
         sent = links.join(ranks, F.col("source_doc_id") == F.col("id")).select(F.col("target_doc_id").alias("id"), (F.col("rank") * F.col("share")).alias("got"))
         ranks = sent.union(none).groupBy("id").agg((F.lit((1 - damping) / n) + F.sum("got")).alias("rank"))
-        if (i + 1) % CHECKPOINT_EVERY == 0:
+        if (i + 1) % CHECKPOINT_EVERY == 0 or i + 1 == iterations:
             ranks = ranks.checkpoint()
+    if iterations:  # the last ranks are written, so nothing reads these any more
+        links.unpersist()
+        nodes.unpersist()
     return ranks.select(F.col("id").alias("doc_id"), F.col("rank").alias("pagerank"))
 
 
@@ -57,13 +62,3 @@ def authority(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def merge_authority(old: DataFrame, new: DataFrame) -> DataFrame:
     """new over old; rows that new lacks stay, and an empty new changes nothing."""
     return old.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
-
-
-def shared_checkpoint_dir(spark) -> None:
-    """Make checkpoint() write where the cluster says; a folder of our own only where nothing is set."""
-    import tempfile
-
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(at or f"file://{tempfile.mkdtemp(prefix='loomdex-')}")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
@@ -10,9 +12,11 @@ from ..functions import scores, text
 WEB, NEWS = 1, 2
 
 
-def web_postings(docs: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """(doc_id, field, term, frequency) of title, description and content; `only` keeps some terms before anything is exploded."""
-    keep = lambda c: F.filter(text.terms(c), lambda t: t.isin(*only)) if only is not None else text.terms(c)
+def web_postings(docs: DataFrame, only: list[str] | None = None, where: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(doc_id, field, term, frequency) of title, description and content; `only`, or `where`, keeps some terms before anything is exploded."""
+    if only is not None:
+        where = lambda t: t.isin(*only)
+    keep = lambda c: F.filter(text.terms(c), where) if where is not None else text.terms(c)
     fields = ((scores.FIELD_TITLE, "title"), (scores.FIELD_DESCRIPTION, "description"), (scores.FIELD_BODY, "content"))
     each = F.array(*(F.struct(F.lit(code).cast("short").alias("field"), keep(F.col(c)).alias("terms")) for code, c in fields))
     rows = docs.select(F.col("id").alias("doc_id"), F.explode(each).alias("f")).select("doc_id", "f.field", F.explode("f.terms").alias("term"))

@@ -21,7 +21,7 @@ def enqueue(queue: DataFrame, found: DataFrame) -> DataFrame:
 
 def sample(queue: DataFrame, n: int, seed: int) -> DataFrame:
     """n queued urls in an order that only the seed decides."""
-    return queue.filter("status = 'queued'").select("url", "domain", F.xxhash64("url", F.lit(seed)).alias("_o")).orderBy("_o", "url").limit(n).drop("_o")
+    return queue.filter("status = 'queued'").select("url", "domain", F.md5(F.concat(F.lit(f"{seed}:"), "url")).alias("_o")).orderBy("_o", "url").limit(n).drop("_o")
 
 
 def dequeue(queue: DataFrame, picked: DataFrame, as_of: Column) -> DataFrame:
@@ -84,7 +84,7 @@ def due(feeds: DataFrame, as_of: Column, most: int = 100) -> DataFrame:
 
 def shard_of(key: Column, n: int) -> Column:
     """Shard of a text key: the same for the same key, evenly dealt."""
-    return F.pmod(F.xxhash64(key), F.lit(n))
+    return F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.lit(n))
 
 
 def shard(df: DataFrame, id_col: str, n: int, k: int) -> DataFrame:

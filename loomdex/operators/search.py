@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,7 +79,7 @@ def result_count(n_candidates: int, n_page: int, offset: int) -> int:
 def news_candidates(postings: DataFrame, articles: DataFrame, feeds: DataFrame, stats: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
     """News candidates with their feed's columns, by score and url."""
     hits = _matched(postings, "article_url", stats, False)
-    f = feeds.select(F.col("feed_url").alias("f_url"), F.struct("feed_url", "home_url", "name", "last_fetched", "next_fetch_at").alias("feed"))
+    f = feeds.select(F.col("feed_url").alias("f_url"), F.struct("feed_url", "home_url", "name", scores.iso(F.col("last_fetched")).alias("last_fetched"), scores.iso(F.col("next_fetch_at")).alias("next_fetch_at")).alias("feed"))
     rows = articles.join(hits, F.col("url") == F.col("article_url")).join(f, F.col("feed_url") == F.col("f_url"), "left")
     return rows.select("title", F.coalesce("description", F.lit("")).alias("description"), "url", "author", "feed", "token_score", "matched_terms").orderBy(F.desc("token_score"), "url").limit(candidate_limit(limit, offset))
 
@@ -88,24 +90,10 @@ def score_news(candidates: DataFrame, query: Query, total: int) -> DataFrame:
     return candidates.withColumn("score", points)
 
 
-#: Surface forms of a query's stems up to which they are looked for by a list; more are joined.
-LISTED_FORMS = 10_000
-
-
-def surface_forms(vocabulary: DataFrame, stems: tuple[str, ...]) -> DataFrame:
-    """(term, stem) of the terms whose stem a query has."""
-    return index.stems(vocabulary).filter(F.col("stem").isin(*stems))
-
-
 def stemmed_postings(docs: DataFrame, stems: tuple[str, ...]) -> DataFrame:
-    """Postings (doc_id, field, term, frequency) by stem, for the stems of a query. The vocabulary is stemmed first; texts are
-    then searched for the forms found, before anything is exploded."""
-    words = F.array_distinct(F.concat(*(text.terms(F.col(c)) for c in ("title", "description", "content"))))
-    forms = surface_forms(docs.select(F.explode(words).alias("term")), stems)
-    found = forms.limit(LISTED_FORMS + 1).collect()
-    if len(found) <= LISTED_FORMS:
-        postings = index.web_postings(docs, [r.term for r in found])
-        forms = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in found], forms.schema))
-    else:
-        postings = index.web_postings(docs)
-    return postings.join(forms, "term").groupBy("doc_id", "field", F.col("stem").alias("term")).agg(F.sum("frequency").alias("frequency"))
+    """Postings (doc_id, field, term, frequency) by stem, for the stems of a query, from the texts in one pass: terms that begin
+    as a form of a stem must are kept before anything is exploded, and only their postings are stemmed."""
+    begins = sorted({text.stem_prefix(x) for x in stems})
+    found = index.web_postings(docs, where=lambda t: reduce(or_, (t.startswith(b) for b in begins), F.lit(False)))
+    rows = found.withColumn("term", text.stem_udf("term")).filter(F.col("term").isin(*stems))
+    return rows.groupBy("doc_id", "field", "term").agg(F.sum("frequency").alias("frequency"))

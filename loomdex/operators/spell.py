@@ -63,8 +63,11 @@ def dictionary(words: DataFrame, external: DataFrame) -> DataFrame:
 
 
 def sync(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The change feed that makes old equal new: new's columns and action insert, update, delete or unchanged."""
+    """The change feed that makes old equal new: new's columns and action insert, update, delete or unchanged. An empty new, as of
+    a rebuild that found no words, changes nothing."""
     names = LEXICON[1:]
+    if new.isEmpty():
+        return old.select(*LEXICON, F.lit("unchanged").alias("action"))
     o = old.select("word", F.struct(*names).alias("o"))
     n = new.select("word", F.struct(*names).alias("n"))
     action = F.when(F.col("o").isNull(), "insert").when(F.col("n").isNull(), "delete").when(~F.col("o").eqNullSafe(F.col("n")), "update").otherwise("unchanged")
@@ -79,17 +82,16 @@ def trigram_candidates(inputs: DataFrame, lexicon: DataFrame, most: int = MOST_C
     """(input_word, lexicon columns, similarity): the best of each input's similar words.
 
     Words meet by shared trigrams: an equi-join of trigram rows whose counts give the Jaccard similarity, so
-    no input is compared with the whole lexicon.
+    no input is compared with the whole lexicon. A word's columns travel with its trigrams, so the lexicon is read once.
     """
     lex = lexicon.filter(F.col("popularity_score") >= MIN_POPULARITY).withColumn("g", spelling.trigrams(F.col("word")))
-    lex_rows = lex.select("word", F.size("g").alias("n"), F.explode("g").alias("t"))
+    lex_rows = lex.select(*LEXICON, F.size("g").alias("n"), F.explode("g").alias("t"))
     asked = inputs.select("input_word").distinct().withColumn("g", spelling.trigrams(F.col("input_word")))
     ask_rows = asked.select("input_word", F.size("g").alias("m"), F.explode("g").alias("t"))
     near = F.length("word").between(F.greatest(F.lit(2), F.length("input_word") - 2), F.length("input_word") + 2)
-    shared = ask_rows.join(lex_rows, "t").filter(near).groupBy("input_word", "word", "m", "n").agg(F.count("*").alias("k"))
+    shared = ask_rows.join(lex_rows, "t").filter(near).groupBy("input_word", "m", "n", *LEXICON).agg(F.count("*").alias("k"))
     sim = F.col("k") / (F.col("m") + F.col("n") - F.col("k")).cast("double")
-    close = shared.select("input_word", "word", sim.alias("similarity")).filter(F.col("similarity") >= SIMILAR)
-    rows = close.join(lexicon, "word")
+    rows = shared.withColumn("similarity", sim).filter(F.col("similarity") >= SIMILAR)
     w = Window.partitionBy("input_word").orderBy(F.desc(F.round("similarity", 6)), F.desc("popularity_score"), "word")
     return rows.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).select("input_word", *LEXICON, "similarity")
 

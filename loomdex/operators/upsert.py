@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
 BACKFILL_WORDS = 120
 
 
@@ -51,9 +53,13 @@ def upsert_documents(old: DataFrame, new: DataFrame, as_of: Column) -> DataFrame
 
 
 def number_new(rows: DataFrame, old: DataFrame) -> DataFrame:
-    """Ids after old's largest for rows without one, without sorting all rows in one task: counted per range of urls, then offset."""
+    """Ids after old's largest for rows without one, without sorting all rows in one task: counted per range of urls, then offset.
+
+    The ranges are written before they are read twice: sampled anew, they might be others.
+    """
+    shared.checkpoints(old.sparkSession)
     top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    lacking = rows.filter("id is null").repartitionByRange("url").select("url", F.spark_partition_id().alias("p"))
+    lacking = rows.filter("id is null").repartitionByRange("url").select("url", F.spark_partition_id().alias("p")).checkpoint()
     inside = lacking.withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy("url")))
     sizes = lacking.groupBy("p").agg(F.count("*").alias("c"))
     before = sizes.select("p", (F.sum("c").over(Window.orderBy("p")) - F.col("c")).alias("b"))  # a row per partition

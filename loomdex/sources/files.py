@@ -45,6 +45,15 @@ def write_lexicon(dictionary: DataFrame, path: str, most: int = TOP_WORDS) -> No
     top_words(dictionary, most).write.mode("overwrite").json(path)
 
 
+def lexicon_document(dictionary: DataFrame, as_of: Column, most: int = TOP_WORDS) -> DataFrame:
+    """One row `value`: the exported lexicon as a JSON document of generated_at and words, best first. It holds at most `most` words."""
+    names = [x.split()[0] for x in LEXICON.split(", ")]
+    top = top_words(dictionary.select(*names), most).agg(F.collect_list(F.struct(-F.col("popularity_score"), "word", F.struct(*names).alias("row"))).alias("all"))
+    words = F.transform(F.sort_array("all"), lambda x: x["row"])
+    stamp = F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return top.select(F.to_json(F.struct(stamp.alias("generated_at"), words.alias("words"))).alias("value"))
+
+
 def image_text(content: Column) -> Column:
     """Base64 of an image's bytes; missing or empty ones give an empty string."""
     return F.when(F.coalesce(F.octet_length(content), F.lit(0)) == 0, F.lit("")).otherwise(F.base64(content))

@@ -77,10 +77,11 @@ def outgoing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as fetch results: status codes and content types dealt so that every route occurs."""
+    """Pages as fetch results: status codes and content types dealt so that every route occurs; every third page has a description,
+    a date and a feed link."""
     return table(spark, sf_dir, "pages").selectExpr(
         "page_id", "url",
         "case when page_id % 10 = 3 then 404 when page_id % 10 = 4 then 500 else 200 end as status_code",
         "case when page_id % 10 = 5 then 'application/rss+xml' when page_id % 10 = 6 then 'text/xml' when page_id % 20 = 7 then 'application/pdf' else 'text/html; charset=utf-8' end as content_type",
-        "case when page_id % 20 = 6 then concat('  <rss version=\"2.0\">', html) else html end as body",
+        "case when page_id % 20 = 6 then concat('  <rss version=\"2.0\">', html) when page_id % 3 = 0 then replace(html, '<style>', concat('<meta name=\"description\" content=\"  Page ', page_id, ' &amp; more\"><meta property=\"article:published_time\" content=\"2024-0', 1 + page_id % 9, '-05T06:07:08+02:00\"><link rel=\"alternate\" type=\"application/rss+xml\" href=\"/feed', page_id, '.xml?utm_source=x\"><link rel=\"stylesheet\" href=\"/s.css\"><style>')) else html end as body",
     )
