@@ -35,6 +35,7 @@ def test_pages(index):
 def test_news(index):
     got = index.search_news("licensed rights reserved", 4)
     assert all(r["url"].startswith("https://news.") and r["feed"]["feed_url"] for r in got["results"])
+    assert all(len(r["feed"]["last_fetched"] or "2025-06-01T00:00:00+00:00") == 25 for r in got["results"]) and index.json_of(got).startswith('{"count"')
     assert index.text_of(got).startswith("[https://news.") if got["results"] else True
 
 

@@ -121,7 +121,19 @@ def test_feed_limits():
     items = "".join(f"<item><link>https://e.org/{i}</link></item>" for i in range(60))
     got = markup.parse_feed("https://e.org/f", f"<rss><channel><item><link>https://e.org/{'x' * 2000}</link></item>{items}</channel></rss>")
     assert len(got["items"]) == 50 and got["items"][0]["url"] == "https://e.org/0"
-    assert not markup.parse_feed("https://e.org/f", "<rss>")["ok"]
+    assert not markup.parse_feed("https://e.org/f", "no feed")["ok"] and not markup.parse_feed("https://e.org/f", "")["ok"]
+    cut = markup.parse_feed("https://e.org/f", "<rss><channel><title>T</title><item><link>/1</link></item><item><link>/2</link><title>a & b</title></item><item><link>/3</link></item></channel></rss>")
+    assert cut["ok"] and cut["name"] == "T" and [x["url"] for x in cut["items"]] == ["https://e.org/1", "https://e.org/2"]
+
+
+def test_stems_begin_as_their_terms():
+    import random
+
+    r = random.Random(1)
+    roots = ["relat", "happi", "conflat", "siz", "hop", "capabil", "sensib", "feudal", "triplic", "valen", "analog", "radic", "tan", "die", "ag", "skies", "y", "by"]
+    ends = ["", "s", "es", "ed", "ing", "y", "ies", "ational", "ization", "izer", "abli", "alli", "ently", "ousness", "iveness", "biliti", "ility", "logi", "icate", "ative", "ical", "ness", "ement", "ion", "e", "ll", "eed", "bly", "ibly", "anci", "ency"]
+    words = [a + b + c for a in roots for b in ends for c in ends] + ["".join(r.choice("aeioubdlnstyz") for _ in range(r.randrange(2, 9))) for _ in range(20_000)] + list(text.IRREGULAR)
+    assert all(w.startswith(text.stem_prefix(text.stem(w))) for w in words)
 
 
 def test_roles():

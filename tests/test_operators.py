@@ -130,6 +130,83 @@ def test_batch_cycle(spark, sf_dir, tmp_path):
     assert c.read("authority").count() == docs.filter("status = 'done'").count()
 
 
+def test_failing_job_leaves_the_last_snapshot(spark, tmp_path):
+    lexicon = "word string, external_frequency long"
+    docs = spark.createDataFrame([(1, "u", "alpha beta", "", "alpha", "done", 2)], "id long, url string, title string, description string, content string, status string, word_count int")
+    articles = docs.select("url", "title", "description", "content").limit(0)
+    c = Cycle(spark, f"file://{tmp_path}", {"documents": docs, "articles": articles, "external": spark.createDataFrame([], lexicon)})
+    c.write("dictionary", c.dictionary())
+    before = sorted(map(tuple, c.read("dictionary").collect()))
+    assert {r[0] for r in before} == {"alpha", "beta"}
+    fail = F.udf(lambda x: 1 // 0, "long")
+    with pytest.raises(Exception):
+        c.write("dictionary", c.read("dictionary").withColumn("total_frequency", fail("word")))
+    assert sorted(map(tuple, c.read("dictionary").collect())) == before
+    c.given["documents"] = docs.limit(0)  # a rebuild that finds no words changes nothing
+    c.write("dictionary", c.dictionary())
+    assert sorted(map(tuple, c.read("dictionary").collect())) == before
+    for _ in range(4):
+        c.write("dictionary", c.read("dictionary"))
+    assert len(c.versions("dictionary")) == 2 and sorted(map(tuple, c.read("dictionary").collect())) == before
+
+
+def test_authority_keeps_what_a_cycle_lacks(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "done"), (2, "done")], "id long, status string")
+    links = spark.createDataFrame([(1, 2)], "source_doc_id long, target_doc_id long")
+    c = Cycle(spark, f"file://{tmp_path}", {"documents": docs, "links": links})
+    c.write("authority", c.authority())
+    c.given["documents"] = docs.filter("id = 2")
+    c.write("authority", c.authority())
+    assert {r.doc_id for r in c.read("authority").collect()} == {1, 2}
+
+
+def test_cycles_go_on_after_a_failure(spark, tmp_path):
+    c = Cycle(spark, f"file://{tmp_path}")
+    slept = []
+    assert c.run_every(60, 2, slept.append) == ["failed: KeyError"] * 2 and slept == [15.0]
+
+
+def test_news_job(spark, tmp_path):
+    """Items of due feeds become articles with tokens; a failed fetch and a body that is no feed change nothing."""
+    feeds = spark.createDataFrame([("https://a.org/f", None), ("https://b.org/f", "B"), ("https://c.org/f", "C"), ("https://d.org/f", "later")], "feed_url string, name string")
+    feeds = feeds.selectExpr("feed_url", "name", "cast(null as string) link", "cast(null as string) image", "cast(null as timestamp) last_published", "cast(null as timestamp) last_fetched", "case when name = 'later' then timestamp'2999-01-01' end next_fetch_at")
+    old = spark.createDataFrame([("https://a.org/1", "old", "", "")], "url string, title string, description string, content string").selectExpr("url", "'https://a.org/f' feed_url", "title", "description", "'' image", "content", "'' author", "timestamp'2024-01-01' published_at", "timestamp'2024-01-02' updated_at")
+    xml = "<rss><channel><title>A</title><item><link>/1</link><title>new alpha</title></item><item><link>/2</link><title>beta</title></item></channel></rss>"
+    bodies = spark.createDataFrame([("https://a.org/f", xml), ("https://b.org/f", None), ("https://c.org/f", "oops"), ("https://d.org/f", xml)], "feed_url string, body string")
+    docs = spark.createDataFrame([(1, "https://a.org/2", "t", "d", "word " * 150, "done", 150)], "id long, url string, title string, description string, content string, status string, word_count int")
+    tokens = index.tokens(index.web_postings(docs), index.news_postings(old))
+    c = Cycle(spark, f"file://{tmp_path}", {"feeds": feeds, "articles": old, "bodies": bodies, "documents": docs, "tokens": tokens})
+    assert set(c.run("worker")) == {"news", "fingerprints"}
+    got = {r.url: r for r in c.read("articles").collect()}
+    assert set(got) == {"https://a.org/1", "https://a.org/2"} and got["https://a.org/1"].title == "new alpha" and len(got["https://a.org/2"].content) == 750
+    state = {r.feed_url[8]: (r.name, r.last_fetched is not None) for r in c.read("feeds").collect()}
+    assert state == {"a": ("A", True), "b": ("B", False), "c": ("C", False), "d": ("later", False)}
+    news = {(r.article_url[-1], r.term) for r in c.read("tokens").filter("source_type = 2").collect()}
+    assert news == {("1", "new"), ("1", "alpha"), ("2", "beta")} and c.read("tokens").filter("source_type = 1").count() > 0
+
+
+def test_lexicon_document(spark):
+    import json
+
+    lex = spark.createDataFrame([("a", 0, 1, 0, 1.0), ("b", 0, 2, 0, 2.0), ("c", 0, 2, 0, 2.0)], files.LEXICON)
+    got = json.loads(files.lexicon_document(lex, F.lit(AS_OF), 2).first().value)
+    assert got["generated_at"] == "2025-06-01T00:00:00Z" and [w["word"] for w in got["words"]] == ["b", "c"]
+    assert json.loads(files.lexicon_document(lex.limit(0), F.lit(AS_OF)).first().value)["words"] == []
+
+
+def test_checkpoints_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from loomdex.sources import shared
+
+    bare = SimpleNamespace(get=lambda *_: None)
+    undefined = SimpleNamespace(isDefined=lambda: False)
+    jsc = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: undefined))
+    far = SimpleNamespace(conf=bare, sparkContext=SimpleNamespace(_jsc=jsc, getConf=lambda: bare, master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared.checkpoints(far)
+
+
 def test_stream_ingest_equals_batch(spark, sf_dir, tmp_path):
     fetched = tables.fetched(spark, sf_dir).select(*[x.split()[0] for x in ingest.FETCHED.split(", ")]).withColumns({"page_id": F.col("page_id").cast("long"), "status_code": F.col("status_code").cast("int")})
     fetched.repartition(3).write.parquet(f"{tmp_path}/in")
