@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from ..functions import scores, text
-from ..operators import search
 from ..sources import tables
 from ..sources.tables import AS_OF_SQL
 from . import queries as q
@@ -17,9 +15,13 @@ def _list(xs) -> str:
     return ", ".join(map(_quote, xs))
 
 
-STOP = _list(text.STOP_WORDS)
+STOP = _list("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 WHITE = r"[^\s\p{Z}\x1c-\x1f\x85]+"
-P = scores.POINTS
+# Written out, so that a change of the engine's constants shows.
+P = {
+    "text": 12, "coverage": 25, "all_terms": 40, "phrase_title": 140, "phrase_url": 70, "phrase_description": 25, "compact_url": 90, "title_hit": 22,
+    "url_hit": 16, "compact_hit": 12, "all_title": 80, "all_url": 55, "all_compact": 45, "news": 8,
+}
 
 
 def _terms(c: str) -> str:
@@ -28,7 +30,7 @@ def _terms(c: str) -> str:
 
 
 WEB = f"web as (select {', '.join(tables.WEB)}, len(regexp_extract_all(text, '{WHITE}')) word_count from documents)"
-NEWS = f"articles as (select {', '.join(tables.ARTICLES)} from documents where doc_id % 4 = 0)"
+NEWS = f"articles as (select {', '.join(tables.ARTICLES)} from documents)"
 FEEDS = f"""f0 as (select distinct {', '.join(tables.FEEDS)} from documents)
 , feeds as (select feed_url, case when k % 3 = 0 then null else 'https://' || name || '.example.org/' end home_url, name,
     case when k % 2 = 0 then null else {AS_OF_SQL} + to_minutes((k - 10) * 7) end next_fetch_at,
@@ -46,21 +48,24 @@ def _in(words) -> str:
     return f"term in ({_list(words)})"
 
 
-_WORDS = search.Query.of(q.QUERY).words
-_TOTAL = len(_WORDS)
+_WORDS = ("only", "shansher", "rely", "apache", "license")
+_PHRASE = "the only of shansher rely apache license"
+_TOTAL = 5
+_STEMMED = ("licensed", "licenses", "released", "rights")
+#: Stems of that query, and the words of the given texts that have them.
+_FORMS = {"licensed": "licens", "license": "licens", "licenses": "licens", "licensing": "licens", "released": "releas", "release": "releas", "releases": "releas", "releasing": "releas", "rights": "right", "right": "right", "righted": "right"}
 
 
-def _candidates(limit: int, offset: int, words=_WORDS, term: str = "term") -> str:
+def _candidates(limit: int, offset: int, words=_WORDS, term: str = "term", source: str = "postings") -> str:
     return f"""{WEB}, {POSTINGS}, {TOTALS}
-    , hits as (select doc_id, field, {term} term, sum(frequency) frequency from postings where {_in(words)} group by all)
+    , hits as (select * from (select doc_id, field, {term} term, sum(frequency) frequency from {source} group by all) where {_in(words)})
     , stats as (select term, count(distinct doc_id) df from hits group by term)
     , agg as (select doc_id, sum(frequency * {IDF} * {WEIGHT}) token_score, count(distinct term) matched_terms from hits join stats using (term), size group by doc_id)
     , cand as (select title, coalesce(description, '') description, url, token_score, matched_terms from web join agg on id = doc_id where status = 'done'
-        order by token_score desc, url limit {search.candidate_limit(limit, offset)})"""
+        order by token_score desc, url limit {min(2000, max(offset + limit + 200, limit * 10))})"""
 
 
-def _intent(query: str, words, total: int, news: bool = False) -> str:
-    phrase = " ".join(scores._ascii_runs(query))
+def _intent(phrase: str, words, total: int, news: bool = False) -> str:
     flat = "regexp_replace(lower(url), '[^a-z0-9]', '', 'g')"
     norm = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
     own = lambda c: f"len(list_intersect([{_list(words)}], {_all_terms(c)}))"
@@ -97,7 +102,7 @@ def _external() -> str:
 
 
 def _dict(words: str, name: str) -> str:
-    return f"""{name} as (select word, 0::bigint doc_frequency, coalesce(total_frequency, 0)::bigint total_frequency, coalesce(external_frequency, 0)::bigint external_frequency,
+    return f"""{name} as materialized (select word, 0::bigint doc_frequency, coalesce(total_frequency, 0)::bigint total_frequency, coalesce(external_frequency, 0)::bigint external_frequency,
       2 * ln(1 + coalesce(total_frequency, 0)::double) + 3 * ln(1 + coalesce(external_frequency, 0)::double) popularity_score from {words} full outer join ext using (word) where length(word) between 2 and 32)"""
 
 
@@ -109,9 +114,9 @@ _GRAMS = lambda w: f"list_distinct(list_transform(range(1, length({w}) + 2), lam
 def _trigram(inputs: str = "inputs") -> str:
     near = "length(word) between greatest(2, length(input_word) - 2) and length(input_word) + 2"
     g, h = "wg", "ig"
-    return f"""lx as (select *, {_GRAMS('word')} wg from dict where popularity_score >= 2), ix as (select distinct input_word, {_GRAMS('input_word')} ig from {inputs})
+    return f"""lx as materialized (select *, {_GRAMS('word')} wg from dict where popularity_score >= 2 and length(word) <= (select max(length(input_word)) + 2 from {inputs})), ix as (select distinct input_word, {_GRAMS('input_word')} ig from {inputs})
     , sim as (select *, len(list_intersect({g}, {h})) / len(list_distinct(list_concat({g}, {h})))::double similarity from lx join ix on {near})
-    , tri as (select * from sim where similarity >= 0.3 qualify row_number() over (partition by input_word order by round(similarity, 6) desc, popularity_score desc, word) <= 120)"""
+    , tri as materialized (select * from sim where similarity >= 0.3 qualify row_number() over (partition by input_word order by round(similarity, 6) desc, popularity_score desc, word) <= 120)"""
 
 
 def _o1(s: str, t: str) -> str:
@@ -121,10 +126,11 @@ def _o1(s: str, t: str) -> str:
 
 def _best(tri: str = "tri") -> str:
     s, t = "input_word", "word"
-    swapped = f"""exists (select 1 from (select unnest(range(1, length({s}))) i), (select unnest(range(1, length({t}))) j)
-        where abs(i - j) <= 1 and substr({s}, i, 1) = substr({t}, j + 1, 1) and substr({s}, i + 1, 1) = substr({t}, j, 1)
-          and {_o1(f'substr({s}, 1, i - 1)', f'substr({t}, 1, j - 1)')} + {_o1(f'substr({s}, i + 2)', f'substr({t}, j + 2)')} <= 1)"""
-    return f"""dist as (select *, case when {_o1(s, t)} <= 1 then {_o1(s, t)} when levenshtein({s}, {t}) <= 2 or {swapped} then 2 end distance from {tri} where word <> input_word)
+    swapped = f"""len(list_filter(range(1, greatest(length({s}), length({t}))), lambda i: len(list_filter([i - 1, i, i + 1], lambda j: j >= 1 and j < length({t}) and i < length({s})
+        and substr({s}, i, 1) = substr({t}, j + 1, 1) and substr({s}, i + 1, 1) = substr({t}, j, 1)
+        and {_o1(f'substr({s}, 1, i - 1)', f'substr({t}, 1, j - 1)')} + {_o1(f'substr({s}, i + 2)', f'substr({t}, j + 2)')} <= 1)) > 0)) > 0"""
+    return f"""near as materialized (select input_word, word, popularity_score, doc_frequency, total_frequency, levenshtein({s}, {t}) lev from {tri} where word <> input_word and levenshtein({s}, {t}) <= 4)
+    , dist as materialized (select *, case when {_o1(s, t)} <= 1 then {_o1(s, t)} when lev <= 2 then 2 when {swapped} then 2 end distance from near)
     , best as (select * from dist where distance <= case when length(input_word) <= 3 then 1 else 2 end
         qualify row_number() over (partition by input_word order by distance, -popularity_score, -doc_frequency, -total_frequency, word) = 1)
     , fixed as (select b.input_word, b.word best, b.distance::int distance from best b left join dict k on k.word = b.input_word
@@ -146,23 +152,30 @@ DOMAIN = rf"""(select case when len(l) <= 2 then h when l[-2] || '.' || l[-1] in
 _QUERY = "regexp_extract(url, '^[^?#]*\\?([^#]*)', 1)"
 NORMAL = rf"""lower(regexp_extract(url, '^[A-Za-z]+')) || '://' || {_HOST} || coalesce(nullif(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+', '/', 'g'), ''), '/')
   || coalesce('?' || nullif(array_to_string(list_filter(string_split({_QUERY}, '&'), lambda p: regexp_matches(p, '^[^=]+=.+') and lower(split_part(p, '=', 1)) not in ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'gclid', 'fbclid')), '&'), ''), '')"""
-FETCHED = """fetched as (select page_id, url, case when page_id % 10 = 3 then 404 when page_id % 10 = 4 then 500 else 200 end code, page_id % 10 r, page_id % 20 r20 from pages)"""
+# What HTML's rules make of the given pages: the article's text between its tags, and links of anchors.
+_PLAIN = lambda c: f"replace(replace(replace(replace(replace({c}, '&quot;', '\"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_MAIN = _PLAIN("regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '(?s)<[a-zA-Z/!][^>]*>', ' ', 'g')")
+_LINK = "lower(regexp_extract(url, '^[A-Za-z]+')) || '://' || {host} || case when href like '/%' then href else '/' || href end"
+FETCHED = f"""fetched as (select page_id, url, {_MAIN} main, case when page_id % 10 = 3 then 404 when page_id % 10 = 4 then 500 else 200 end code, page_id % 10 r, page_id % 20 r20 from pages)"""
 ROUTES = f"""{FETCHED}, routed as (select page_id, url, case when code >= 400 then 'non_success_status_error' when r = 5 then 'done' when r20 = 6 then 'done' when r = 6 then 'processing_error'
-    when r20 = 7 then 'processing_error' else 'validation_error' end status from fetched)"""
+    when r20 = 7 then 'processing_error' when page_id % 3 = 0 and length(regexp_replace(main, '\\s+', ' ', 'g')) >= 120 then 'done' else 'validation_error' end status from fetched)"""
 QUEUE = f"queue as (select {NORMAL} url, min({DOMAIN}) domain from pages group by 1)"
 
 
+FETCHED_HTML = "fh as (select page_id, url, html, page_id % 3 = 0 and page_id % 20 <> 6 own from pages)"
+ANCHORS = f"""an as (select page_id, url, unnest(hs) href, generate_subscripts(hs, 1) i from (select page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) hs from pages))
+, anchors as (select page_id, min(i) first, link from (select page_id, i, {_LINK.format(host=_HOST)} link from an) group by page_id, link)"""
+
+
 SIMHASH = f"""select doc_id, fingerprint from (select doc_id, coalesce(f, 0) fingerprint from documents left join (
   select doc_id, sum(case when 2 * c > n then (case when b = 63 then -9223372036854775808 else (1::hugeint << b) end) else 0 end)::bigint f from (
     select doc_id, b, sum(((h >> b) & 1)::int) c, count(*) n from (select doc_id, ('0x' || substr(md5(w), 17, 16))::ubigint h from (select doc_id, unnest(regexp_extract_all(text, '[^\\s\\p{{Z}}\\x0B\\x1c-\\x1f\\x85]+')) w from documents)),
       (select unnest(range(64))::int b) group by all) group by doc_id) using (doc_id))"""
 
-_FEED_ROWS = [
-    ("https://f0.example.org/feed", "Feed A", "https://a.example.org/home", "https://f0.example.org/one?b=2", "One", "Hi & you", "Ann", "https://f0.example.org/i.png", "2024-01-02 00:00:00"),
-    ("https://f0.example.org/feed", "Feed A", "https://a.example.org/home", "https://b.example.org/two", "Two", "", "Bo", "", None),
-    ("https://f1.example.org/feed", "Feed B", "https://b.example.org/", "https://f1.example.org/e", "E", "S", "", "", None),
-    ("https://f2.example.org/feed", "", "", None, None, None, None, None, None),
-]
+# Feeds made of the documents: their rows, without a parser.
+FEED_ITEMS = f"""fi as (select doc_id, doc_id // 10 k, substring(split_part(text, chr(10), 1), 1, 80) title, 'author ' || doc_id % 7 author, timestamp '2024-01-01' + to_minutes((doc_id % 400000)::int) stamp from documents)
+, ok as (select * from fi where k % 17 <> 3)"""
+_TITLE = r"trim(regexp_replace(regexp_replace(coalesce(title, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '\s+$|^\s+', '', 'g'))"
 
 
 def _values(rows, cols: str) -> str:
@@ -175,21 +188,26 @@ ORACLES = {
     "term_freq_by_field": f"with {WEB}, {POSTINGS} select doc_id, field, term, frequency::int frequency from postings",
     "term_statistics": f"with {WEB}, {POSTINGS}, {TOTALS} select term, df doc_frequency, round({IDF}, 9) idf, round(avg_doc_len, 6) avg_doc_len from (select term, count(distinct doc_id) df from postings group by term), size",
     "web_search_candidates": f"with {_candidates(20, 0)} select title, description, url, round(token_score, 6) token_score, matched_terms from cand",
-    "web_search_ranked": f"with {_candidates(20, 0)} select url, title, round({_intent(q.QUERY, _WORDS, _TOTAL)}, 6) score from cand",
-    "web_search_page": f"with {_candidates(10, 10)} select url, round(score, 6) score from (select url, {_intent(q.QUERY, _WORDS, _TOTAL)} score from cand) order by score desc, url limit 10 offset 10",
+    "web_search_ranked": f"with {_candidates(20, 0)} select url, title, round({_intent(_PHRASE, _WORDS, _TOTAL)}, 6) score from cand",
+    "web_search_page": f"with {_candidates(10, 10)} select url, round(score, 6) score from (select url, {_intent(_PHRASE, _WORDS, _TOTAL)} score from cand) order by score desc, url limit 10 offset 10",
     "web_search_textless": f"with {_candidates(20, 0)} select round(12 * ln(1 + token_score) + 25 * matched_terms / {_TOTAL}::double + case when matched_terms = {_TOTAL} then 40 else 0 end, 6) score from cand",
+    "web_search_stemmed": f"""with forms as (from (values {", ".join(f"({_quote(a)}, {_quote(b)})" for a, b in _FORMS.items())}) t(form, stem)), {_candidates(20, 0, ("licens", "releas", "right"), "stem", "postings join forms on form = postings.term")}
+      select url, round({_intent(" ".join(_STEMMED), _STEMMED, 3)}, 6) score from cand""",
+    "queue_dequeue": f"""with {QUEUE}, p as (select url from queue order by md5('{q.SEED}:' || url), url limit {q.QUEUE_N})
+      select url, case when url in (from p) then 'in_progress' else 'queued' end status, (url in (from p))::int attempt_count, case when url in (from p) then {AS_OF_SQL} end last_attempt from queue""",
+    "feed_shards": f"with {FEEDS} select feed_url, (('0x' || substr(md5(feed_url), 1, 8))::ubigint % 4)::bigint shard from feeds",
     "news_search": f"""with {WEB}, {NEWS}, {FEEDS}, {POSTINGS}, {NEWS_POSTINGS}, {TOTALS}
       , stats as (select term, (count(distinct doc_id)) df from (select doc_id, term from postings union all select null, term from news_postings) where {_in(_WORDS)} group by term)
       , agg as (select article_url, sum(frequency * {IDF}) token_score, count(distinct term) matched_terms from news_postings join stats using (term), size where {_in(_WORDS)} group by article_url)
       , cand as (select a.url, title, coalesce(description, '') description, author, f.feed_url, f.home_url, token_score, matched_terms from articles a join agg on url = article_url left join feeds f on f.feed_url = a.feed_url
           order by token_score desc, a.url limit 220)
-      select url, title, description, author, feed_url, home_url, round(token_score, 6) token_score, matched_terms, round({_intent(q.QUERY, _WORDS, _TOTAL, True)}, 6) score from cand""",
+      select url, title, description, author, feed_url, home_url, round(token_score, 6) token_score, matched_terms, round({_intent(_PHRASE, _WORDS, _TOTAL, True)}, 6) score from cand""",
     "news_idf_df_zero": f"""with w0 as (select {', '.join(tables.WEB)}, len(regexp_extract_all(text, '{WHITE}')) word_count from documents), web as (select * from w0 where id % 4 <> 0), {NEWS}, {POSTINGS}, {NEWS_POSTINGS}, {TOTALS}
       select term, 0::bigint doc_frequency, round(ln((n + 0.5) / 0.5 + 1), 9) idf from (select distinct term from news_postings where term not in (select term from postings)), size""",
     "spell_words": f"with {WORDS} select word, total_frequency from words",
     "spell_external_scores": f"with {_external()} from ext",
     "spell_dictionary": f"with {DICT} select * replace (round(popularity_score, 9) as popularity_score) from dict",
-    "spell_meta_topn": f"with {DICT} select * replace (round(popularity_score, 9) as popularity_score) from (from dict order by popularity_score desc, word limit 500)",
+    "spell_meta_topn": f"with {DICT} select * replace (round(popularity_score, 9) as popularity_score) from (from dict order by popularity_score desc, word limit 120000)",
     "spell_candidates_trigram": f"with {DICT}, {INPUTS}, {_trigram()} select input_word, word, total_frequency, round(similarity, 6) similarity from tri",
     "spell_candidates_prefix": f"""with {DICT}, {INPUTS} select input_word, word, round(popularity_score, 9) popularity_score from inputs join dict on length(word) between greatest(2, length(input_word) - 2) and length(input_word) + 2 and word[1] = input_word[1]
       where popularity_score >= 2 qualify row_number() over (partition by input_word order by popularity_score desc, word) <= 120""",
@@ -201,7 +219,7 @@ ORACLES = {
       , parts as (select qid, q, unnest(regexp_extract_all(q, '[a-zA-Z]+|[^a-zA-Z]+')) part, generate_subscripts(regexp_extract_all(q, '[a-zA-Z]+|[^a-zA-Z]+'), 1) i from qs)
       , lines as (select qid, string_agg(case when best is null then part when part = upper(part) then upper(best) when part[1] = upper(part[1]) and part[2:] = lower(part[2:]) then upper(best[1]) || lower(best[2:]) else best end, '' order by i) line from parts left join fixed on input_word = lower(part) group by qid)
       select qid::int qid, q, case when line <> q then line end suggestion from qs left join lines using (qid)""",
-    "spell_generate_deletes": f"""with {WORDS}, w as (select word from words where length(word) <= 8), one as (select word, substr(word, 1, i - 1) || substr(word, i + 1) cut from (select word, unnest(range(1, length(word) + 1)) i from w))
+    "spell_generate_deletes": f"""with {WORDS}, w as (select word from words), one as (select word, substr(word, 1, i - 1) || substr(word, i + 1) cut from (select word, unnest(range(1, length(word) + 1)) i from w))
       select word, cut from one union select word, substr(cut, 1, i - 1) || substr(cut, i + 1) from (select word, cut, unnest(range(1, length(cut) + 1)) i from one where length(cut) >= 2)""",
     "dictionary_sync_diff": f"""with {WEB}, {_external()}, w1 as (select word, count(*) total_frequency from ({_counts('web', 'id % 3 <> 0')}) group by word), w2 as (select word, count(*) total_frequency from ({_counts('web')}) group by word)
       , {_dict('w1', 'o0')}, {_dict('w2', 'n')}, o as (from o0 union all select 'goneword', 0, 3, 0, 1.0)
@@ -225,7 +243,7 @@ ORACLES = {
     "rate_limit_slots": f"""with e as (select event_id id, user_id, epoch(date_trunc('second', ts))::double "at", row_number() over w - 1 i from (select * from events) window w as (partition by user_id order by date_trunc('second', ts), event_id))
       select id, user_id, "at", i * {q.GAP} + max("at" - i * {q.GAP}) over (partition by user_id order by i) slot from e""",
     "feeds_due": f"with {FEEDS} select feed_url, next_fetch_at, last_fetched from feeds where next_fetch_at is null or next_fetch_at <= {AS_OF_SQL} order by next_fetch_at nulls first, last_fetched nulls first, feed_url limit 100",
-    "shard_assignment": "select doc_id id, 1::bigint shard from documents where doc_id % 4 = 1",
+    "shard_assignment": "select doc_id id, doc_id % 4 shard from documents",
     "upsert_documents": f"""with {WEB}, mx as (select max(id) m from web where id % 2 = 0), fresh as (select id, row_number() over (order by url) + m new_id from web, mx where id % 3 = 0 and id % 2 = 1)
       select case when id % 2 = 0 then id else new_id end id, url, url canonical_url, case when id % 3 = 0 then title else 'old ' || title end title, case when id % 6 = 0 then null else description end description, md5(content) content_md5,
         case when id % 3 <> 0 then timestamp '2024-01-01' end published_at, case when id % 3 = 0 then timestamp '2025-01-01' else timestamp '2024-01-02' end updated_at, case when id % 3 = 0 then 2 else 1 end word_count,
@@ -243,11 +261,24 @@ ORACLES = {
       select url, md5(case when not gone or long then content when right(url, 1) = '2' then '' end) content_md5 from a""",
     "replace_news_tokens": f"""with {NEWS}, {NEWS_POSTINGS}, t as (select article_url, count(*) terms, sum(frequency)::bigint tokens from news_postings group by 1)
       select article_url, terms, tokens from t where not (article_url like '%4' and article_url not like '%44') union all select url, 2, 3 from articles where url like '%4' and url not like '%44'""",
-    "rss_parse": f"select * replace (published_at::timestamp as published_at) from {_values(_FEED_ROWS, 'feed_url, name, link, url, title, description, author, image_url, published_at')}",
-    "rfc2822_dates": "select raw, stamp::timestamp as \"at\" from " + _values(list(zip(q.DATES, ("2024-01-01 00:00:00", "2024-01-02 00:00:00", None, None, None), strict=True)), "raw, stamp"),
-    "format_text_results": f"""with {_candidates(10, 10)}, r as (select url, title, description, round({_intent(q.QUERY, _WORDS, _TOTAL)}, 6) score, {_intent(q.QUERY, _WORDS, _TOTAL)} full_score from cand order by full_score desc, url limit 10 offset 10)
+    "rss_parse": f"""with {FEED_ITEMS} select 'https://f' || k || '.example.org/feed' feed_url, 'Feed ' || k as name, 'https://h' || k || '.example.org/home' link, max(stamp) over (partition by k) last_published,
+        'https://f' || k || '.example.org/item/' || doc_id url, md5({_TITLE}) title_md5, 'No ' || doc_id || ' & on' description, author, stamp published_at from ok
+      union all select 'https://f' || k || '.example.org/feed', '', '', null, null, null, null, null, null from (select distinct k from fi where k % 17 = 3)""",
+    "rfc2822_dates": "select event_id, case when event_id % 4 < 3 then date_trunc('second', ts)::timestamp end \"at\" from events",
+    "feed_times": f"with {FEEDS} select feed_url, strftime(last_fetched, '%Y-%m-%dT%H:%M:%S+00:00') last_fetched, strftime(next_fetch_at, '%Y-%m-%dT%H:%M:%S+00:00') next_fetch_at from feeds",
+    "replace_web_tokens": f"""with {WEB}, {POSTINGS} select doc_id, count(*) terms, sum(frequency)::bigint tokens from postings where doc_id % 3 <> 0 group by doc_id
+      union all select id, 2, 3 from web where id % 6 = 0""",
+    "replace_links": f"with {WEB}, {OUTGOING} select source_doc_id, target_url from outgoing where source_doc_id % 3 <> 0 union all select id, 'https://new.example.org/' from web where id % 6 = 0",
+    "authority_upsert": f"""with {WEB}, {OUTGOING}, n as (select target_doc_id, count(*) c from edges where source_doc_id % 2 = 0 and target_doc_id % 2 = 0 group by 1)
+      select id doc_id, case when id % 2 = 0 then 0.25 else 0.5 end::double pagerank, case when id % 2 = 0 then coalesce(c, 0) else 7 end::int inlink_count from web left join n on target_doc_id = id""",
+    "page_parse_title_links": f"""with {FETCHED_HTML}, {ANCHORS} select page_id, trim({_PLAIN("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}) title, case when own then 'Page ' || page_id || ' & more' else '' end description, coalesce(n, 0)::int n_links,
+        case when own then ('2024-0' || (1 + page_id % 9) || '-05 04:07:08')::timestamp end published_at, null::timestamp updated_at from fh left join (select page_id, count(*) n from anchors group by 1) using (page_id)""",
+    "page_links": f"with {FETCHED_HTML}, {ANCHORS} select page_id, (row_number() over (partition by page_id order by first) - 1)::int \"at\", link from anchors",
+    "page_feed_links": f"with {FETCHED_HTML} select page_id, lower(regexp_extract(url, '^[A-Za-z]+')) || '://' || {_HOST} || '/feed' || page_id || '.xml' feed_url from fh where own",
+    "page_content": f"with {FETCHED_HTML} select page_id, md5(regexp_replace({_MAIN}, '\\s', '', 'g')) content_md5 from fh",
+    "format_text_results": f"""with {_candidates(10, 10)}, r as (select url, title, description, round({_intent(_PHRASE, _WORDS, _TOTAL)}, 6) score, {_intent(_PHRASE, _WORDS, _TOTAL)} full_score from cand order by full_score desc, url limit 10 offset 10)
       select regexp_replace(string_agg('[' || r.url || '](' || r.title || ')' || chr(10) || r.description || chr(10) || chr(10), '' order by score desc, r.url), '^\\s+|\\s+$', '', 'g') as text from r""",
-    "migration_token_backfill": f"""with w0 as (select {', '.join(tables.WEB)} from documents), web as (select * from w0 where id % 100 = 1), {NEWS}, {POSTINGS}, {NEWS_POSTINGS}
+    "migration_token_backfill": f"""with {WEB}, {NEWS}, {POSTINGS}, {NEWS_POSTINGS}
       select 1 source_type, field, count(*) n, sum(frequency)::bigint tokens, count(*) with_doc from postings group by field union all select 2, 4, count(*), sum(frequency)::bigint, 0 from news_postings""",
 }
 ORACLES["token_statistics"] = ORACLES["term_statistics"]

@@ -216,14 +216,26 @@ def _parsed(s, d):
     return ingest.parsed(tables.fetched(s, d), AS_OF)
 
 
+def _pages(s, d):
+    """Every page as fetched, parsed whatever its route."""
+    return tables.fetched(s, d).withColumn("p", markup.page_parser(AS_OF)(F.col("url"), F.col("body"))).select("page_id", "p.*")
+
+
 def page_parse_title_links(s, d):
-    p = tables.table(s, d, "pages").withColumn("p", markup.page_parser(AS_OF)(F.col("url"), F.col("html")))
-    return p.select("page_id", "p.title", F.size("p.links").alias("n_links"))
+    return _pages(s, d).select("page_id", "title", "description", F.size("links").alias("n_links"), "published_at", "updated_at")
 
 
 def page_links(s, d):
-    p = tables.table(s, d, "pages").withColumn("p", markup.page_parser(AS_OF)(F.col("url"), F.col("html")))
-    return p.select("page_id", F.posexplode("p.links").alias("at", "link"))
+    return _pages(s, d).select("page_id", F.posexplode("links").alias("at", "link"))
+
+
+def page_feed_links(s, d):
+    return _pages(s, d).select("page_id", F.explode("feed_links").alias("feed_url"))
+
+
+def page_content(s, d):
+    """Main text of every page without its white space, which the oracle can't place."""
+    return _pages(s, d).select("page_id", F.md5(F.regexp_replace("content", r"\s", "")).alias("content_md5"))
 
 
 def page_status_routing(s, d):
@@ -329,31 +341,78 @@ def replace_news_tokens(s, d):
     return index.replace_by_key(old, new, "article_url").groupBy("article_url").agg(F.count("*").alias("terms"), F.sum("frequency").alias("tokens"))
 
 
-FEED_XML = (
-    "<rss version=\"2.0\" xmlns:dc=\"http://purl.org/dc/elements/1.1/\" xmlns:media=\"http://search.yahoo.com/mrss/\"><channel><title>Feed A</title><link>https://a.example.org//home?utm_source=x</link>"
-    "<lastBuildDate>Mon, 01 Jan 2024 05:30:00 +0530</lastBuildDate>"
-    "<item><title>One</title><link>/one?b=2&amp;gclid=1#f</link><description>&lt;p&gt;Hi &amp;amp; &lt;b&gt;you&lt;/b&gt;&lt;/p&gt;</description><dc:creator>Ann</dc:creator><pubDate>Tue, 02 Jan 2024 00:00:00 GMT</pubDate><media:content url=\"i.png\"/></item>"
-    "<item><title>No link</title></item><item><title>Two</title><link>https://b.example.org/two</link><author>Bo</author></item></channel></rss>",
-    "<feed xmlns=\"http://www.w3.org/2005/Atom\"><title>Feed B</title><link href=\"https://b.example.org\"/><entry><title>E</title><link href=\"/e\"/><summary>S</summary><updated>2024-01-01T00:00:00Z</updated></entry></feed>",
-    "<rss><channel><title>broken",
-)
-DATES = ("Mon, 01 Jan 2024 05:30:00 +0530", "Tue, 02 Jan 2024 00:00:00 GMT", "2024-01-01T00:00:00Z", "", "nonsense")
+def _xml(c):
+    """A column's text as XML character data, without the characters that XML forbids."""
+    plain = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]", "")
+    return F.replace(F.replace(plain, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
+def _rfc2822(at):
+    return F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss +0000")
 
 
-def _feeds_xml(s):
-    return s.createDataFrame([(f"https://f{i}.example.org/feed", x) for i, x in enumerate(FEED_XML)], "feed_url string, body string")
+def fetched_feeds(s, d):
+    """One feed of each ten documents, RSS and Atom in turn, with an item of each. Every thirteenth
+    breaks off in an item more, at a bare ampersand; every seventeenth is no feed at all."""
+    docs = tables.articles(s, d).join(tables.documents(s, d).select(F.expr(tables.ARTICLES[0]), "doc_id"), "url")
+    when = F.to_timestamp(F.lit("2024-01-01")) + F.make_dt_interval(mins=(F.col("doc_id") % 400_000).cast("int"))
+    rss = F.concat(F.lit("<item><title>"), _xml(F.col("title")), F.lit("</title><link>/item/"), "doc_id", F.lit("?utm_source=f#x</link><description>"), _xml(F.concat(F.lit("<p>No "), "doc_id", F.lit(" &amp; <b>on</b></p>"))), F.lit("</description><dc:creator>"), "author", F.lit("</dc:creator><pubDate>"), _rfc2822(when), F.lit("</pubDate></item>"))
+    atom = F.concat(F.lit("<entry><title>"), _xml(F.col("title")), F.lit('</title><link href="/item/'), "doc_id", F.lit('"/><summary>'), _xml(F.concat(F.lit("<p>No "), "doc_id", F.lit(" &amp; <b>on</b></p>"))), F.lit("</summary><author><name>"), "author", F.lit("</name></author><published>"), _rfc2822(when), F.lit("</published></entry>"))
+    k = F.floor(F.col("doc_id") / 10)
+    one = docs.select(k.alias("k"), "doc_id", F.when(k % 2 == 0, rss).otherwise(atom).alias("item"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "item"))), lambda x: x["item"]), "")
+    feeds = one.groupBy("k").agg(body.alias("items"))
+    link = F.concat(F.lit("https://h"), "k", F.lit(".example.org//home"))
+    broken = F.when(F.col("k") % 13 == 5, F.concat(F.when(F.col("k") % 2 == 0, "<item>").otherwise("<entry>"), F.lit("<title>this & that</title>"))).otherwise("")
+    whole = F.when(F.col("k") % 2 == 0, F.concat(F.lit('<rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>Feed '), "k", F.lit("</title><link>"), link, F.lit("</link>"), "items", broken, F.lit("</channel></rss>"))).otherwise(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>Feed '), "k", F.lit('</title><link href="'), link, F.lit('"/>'), "items", broken, F.lit("</feed>")))
+    return feeds.select(F.concat(F.lit("https://f"), "k", F.lit(".example.org/feed")).alias("feed_url"), F.when(F.col("k") % 17 == 3, F.lit("502 bad gateway")).otherwise(whole).alias("body"))
 
 
 def rss_parse(s, d):
-    got = _feeds_xml(s).mapInPandas(markup.feed_parser(), f"feed_url string, {markup.FEED}")
-    rows = got.select("feed_url", "name", "link", F.explode_outer("items").alias("i"))
-    return rows.select("feed_url", "name", "link", "i.url", "i.title", "i.description", "i.author", "i.image_url", "i.published_at")
+    """Every feed's items; a body that is no feed has a row without any."""
+    got = fetched_feeds(s, d).mapInPandas(markup.feed_parser(), f"feed_url string, {markup.FEED}")
+    rows = got.select("feed_url", "name", "link", "last_published", F.explode_outer("items").alias("i"))
+    return rows.select("feed_url", "name", "link", "last_published", "i.url", F.md5("i.title").alias("title_md5"), "i.description", "i.author", "i.published_at")
 
 
 def rfc2822_dates(s, d):
-    day = F.regexp_replace("raw", r"^[A-Za-z]{3}, ", "")
-    stamp = F.coalesce(F.try_to_timestamp(day, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(day, F.lit("d MMM yyyy HH:mm:ss z")))
-    return s.createDataFrame([(x,) for x in DATES], "raw string").select("raw", stamp.alias("at"))
+    """The engine's date parser over RFC 2822 forms of all event times, in three zones, and over ISO-8601 ones, which it refuses."""
+    e = tables.table(s, d, "events").select("event_id", F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"))
+    local = lambda hours: F.date_format(F.col("ts") + F.make_dt_interval(hours=F.lit(hours)), "EEE, dd MMM yyyy HH:mm:ss")
+    kind = F.col("event_id") % 4
+    raw = F.when(kind == 0, F.concat(local(0), F.lit(" GMT"))).when(kind == 1, F.concat(local(5), F.lit(" +0500"))).when(kind == 2, F.concat(local(-8), F.lit(" PST"))).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return e.select("event_id", markup.rfc2822_udf(raw).alias("at"))
+
+
+def feed_times(s, d):
+    """Times of feeds as search results show them."""
+    return tables.feeds(s, d).select("feed_url", scores.iso(F.col("last_fetched")).alias("last_fetched"), scores.iso(F.col("next_fetch_at")).alias("next_fetch_at"))
+
+
+def replace_web_tokens(s, d):
+    """Web tokens after a third of the documents were crawled again, some to pages without any term: these have no tokens left."""
+    docs = tables.web(s, d)
+    again = docs.filter("id % 3 = 0").withColumns({"title": F.lit(""), "description": F.lit("?"), "content": F.when(F.col("id") % 2 == 0, F.lit("gamma delta gamma")).otherwise(F.lit(" the "))})
+    kept = index.replace_for_keys(index.web_postings(docs), index.web_postings(again), again.select(F.col("id").alias("doc_id")), "doc_id")
+    return kept.groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("frequency").alias("tokens"))
+
+
+def replace_links(s, d):
+    """Outgoing links after a third of the documents were crawled again: one link each, or none."""
+    old = tables.outgoing(s, d)
+    again = tables.web(s, d).filter("id % 3 = 0").select(F.col("id").alias("source_doc_id"))
+    new = again.filter("source_doc_id % 2 = 0").withColumn("target_url", F.lit("https://new.example.org/"))
+    return index.replace_for_keys(old, new, again, "source_doc_id")
+
+
+def authority_upsert(s, d):
+    """Authority of all documents after a cycle over the even ones: rows that it doesn't reach stay."""
+    nodes = tables.web(s, d).select("id")
+    old = nodes.select(F.col("id").alias("doc_id"), F.lit(0.5).alias("pagerank"), F.lit(7).alias("inlink_count"))
+    part = nodes.filter("id % 2 = 0")
+    edges = link_graph(s, d)
+    new = part.select(F.col("id").alias("doc_id"), F.lit(0.25).alias("pagerank")).join(graph.inlinks(edges, part), "doc_id")
+    return graph.merge_authority(old, new)
 
 
 def format_text_results(s, d):
@@ -379,6 +438,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         inlink_counts, pagerank, simhash_fingerprints, url_normalize, registrable_domain, page_parse_title_links,
         page_links, page_status_routing, quality_freshness, queue_enqueue, queue_dequeue, queue_status_counts,
         rate_limit_slots, feeds_due, shard_assignment, feed_shards, upsert_documents, upsert_articles, upsert_feeds,
-        backfill_content, replace_news_tokens, rss_parse, rfc2822_dates, format_text_results, migration_token_backfill,
+        backfill_content, replace_news_tokens, rss_parse, rfc2822_dates, feed_times, replace_web_tokens, replace_links, authority_upsert, page_feed_links,
+        page_content, format_text_results, migration_token_backfill,
     )
 }
