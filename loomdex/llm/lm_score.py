@@ -163,12 +163,41 @@ def predict(key: np.ndarray, n: np.ndarray, joined: tuple[np.ndarray, np.ndarray
 # ---- distributed counting ----------------------------------------------------
 
 
+def _sorted(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, value = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((keys, np.uint64), (values, float)))
+    order = np.argsort(key)
+    return key[order], value[order]
+
+
 def _merge(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, with summed values."""
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    u, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return u, np.bincount(at, weights=np.concatenate(values), minlength=len(u))
+    key, value = _sorted(keys, values)
+    if not len(key):
+        return key, value
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(value, first)
+
+
+class Counter:
+    """Sums by key, merged whenever what came since the last time outgrows it."""
+
+    def __init__(self) -> None:
+        self.keys: list[np.ndarray] = []
+        self.values: list[np.ndarray] = []
+        self.merged = self.held = 0
+
+    def add(self, key: np.ndarray, value: np.ndarray) -> None:
+        self.keys.append(key)
+        self.values.append(value)
+        self.held += len(key)
+        if self.held > 2 * self.merged + (1 << 20):
+            self.sums()
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        got = _merge(self.keys, self.values)
+        self.keys, self.values, self.merged = [got[0]], [got[1]], len(got[0])
+        self.held = self.merged
+        return got
 
 
 def _blob(x: np.ndarray) -> bytes:
@@ -246,7 +275,7 @@ def _ask(batches: list[pa.RecordBatch]) -> pa.Table:
     t = pa.Table.from_batches(batches)
     chunk = uuid.uuid4().int >> 65
     train = (~t.column("held_out").to_numpy()).astype(float)
-    found: dict[int, tuple[list, list]] = {WORD: ([], []), GRAM: ([], [])}
+    found = {WORD: Counter(), GRAM: Counter()}
     for i, j, buf, at in tn.slices(t.column("text"), SLICE_BYTES):
         low = tn.LOWER[buf]
         w = tn.words(low, at)
@@ -255,11 +284,10 @@ def _ask(batches: list[pa.RecordBatch]) -> pa.Table:
                 mine = key[train[i:j][doc] == 1 - part]
                 mine.sort()
                 first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]])) if len(mine) else np.zeros(0, np.int64)
-                found[kind][0].append(mine[first])
-                found[kind][1].append(np.diff(np.append(first, len(mine))) * float(1 - part))
+                found[kind].add(mine[first], np.diff(np.append(first, len(mine))) * float(1 - part))
     out = [(TEXT, chunk, 0, None, None, _pack(t))]
-    for kind, (keys, values) in found.items():
-        key, count = _merge(keys, values)
+    for kind in list(found):
+        key, count = found.pop(kind).sums()
         out += [(kind, chunk, r, _blob(k), _blob(c), None) for r, k, c in _cut(_range(kind, key), key, count.astype(np.uint32))]
     return _table(_ASKED, out)
 
@@ -270,9 +298,7 @@ def _all_keys(t: pa.Table) -> np.ndarray:
 
 def _looked_up(have: pa.Table):
     """A function from keys to their values in have."""
-    key, value = _all_keys(have), np.concatenate([_floats(x) for x in have.column("values").to_pylist()])
-    order = np.argsort(key)
-    key, value = key[order], value[order]
+    key, value = _sorted([_keys(x) for x in have.column("keys").to_pylist()], [_floats(x) for x in have.column("values").to_pylist()])
     return lambda k: value[np.searchsorted(key, k)]
 
 
@@ -387,7 +413,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         kinds = have.column("kind").to_pylist()
         for kind in (WORD, GRAM):
             mine = [i for i, k in enumerate(kinds) if k == kind]
-            tables[kind] = _merge([_keys(have.column("keys")[i].as_py()) for i in mine], [_floats(have.column("values")[i].as_py()) for i in mine])
+            tables[kind] = _sorted([_keys(have.column("keys")[i].as_py()) for i in mine], [_floats(have.column("values")[i].as_py()) for i in mine])
         t = pa.ipc.open_stream(t.column("body")[0].as_buffer()).read_all()
         ids, held = t.column("doc_id").combine_chunks(), t.column("held_out").combine_chunks()
         out = []
