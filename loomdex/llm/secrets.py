@@ -10,9 +10,14 @@ so one search for the shortest strong part tells which texts are looked at at al
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import drop, written
+
 _kw = lambda s: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in s)
 _ASSIGN = "|".join(_kw(x) for x in ("password", "passwd", "secret", "token", "api_?key"))
 _USER = "|".join(_kw(x) for x in ("username", "user", "login", "account", "client_?id"))
@@ -30,10 +35,12 @@ KINDS = {
 STRONG = ("assign", "access", "hex")
 #: What a weak part must have within its scope.
 COMPLEMENT = {"key40": ("access",), "user": ("assign", "access"), "endpoint": ("assign", "access")}
-#: What every text with a strong part holds.
-HINT = rf"""(?:{_ASSIGN})["\x27]?\x20*[:=]\x20*["\x27]?[A-Za-z0-9+/_.=-]{{6}}|AKIA[A-Z0-9]{{16}}|[0-9a-f]{{24}}"""
+#: Words of which a text with an assignment holds one, in whatever case; searched for before any pattern.
+WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Code points between a weak part and its complement.
 SCOPE = 200
+#: Reported spans up to which they are sent to all executors to rewrite texts; more are joined by a shuffle.
+SENT_SPANS = 500_000
 MARK = "[SECRET]"
 _BLOCK = 64
 _CHARS = 1024
@@ -75,10 +82,23 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.withColumns({"h1": F.xxhash64("_id", "text"), "h2": F.xxhash64("text", "_id", F.lit(1))})
 
 
-def _linked(rows: DataFrame) -> DataFrame:
-    """(h1, h2, ord, start, end, shown) of every part of the texts (h1, h2, text) that hold a strong one; rows that repeat
-    id and text count once. shown: strong, or linked and in no reported part."""
-    spans = _with_spans(rows).select("h1", "h2", *(f"s_{k}" for k in KINDS)).dropDuplicates(["h1", "h2"])
+def _hint(text: Column) -> Column:
+    """Whether a text may hold a strong part: plain searches for most texts."""
+    low = F.lower(text)
+    word = reduce(or_, (low.contains(w) for w in WORDS))
+    return F.coalesce((word & text.rlike(KINDS["assign"][0])) | text.contains("AKIA") | text.rlike("[0-9a-f]{24}"), F.lit(False))
+
+
+def _found(rows: DataFrame) -> DataFrame:
+    """(_id, h1, h2, text) of every row (_id, text), the text null where it can't hold a strong part. Written: one search through
+    all texts, and what follows reads the few that are left."""
+    return written(_keyed(rows).select("_id", "h1", "h2", F.when(_hint(F.col("text")), F.col("text")).alias("text")))
+
+
+def _linked(found: DataFrame) -> DataFrame:
+    """(h1, h2, ord, start, end, shown) of every part of the texts in found that hold a strong one; rows that repeat id and
+    text count once. shown: strong, or linked and in no reported part."""
+    spans = _with_spans(found.filter("text is not null").select("h1", "h2", "text").dropDuplicates(["h1", "h2"]))
     strong = " or ".join(f"size(s_{k}) > 0" for k in STRONG)  # not a filter: pushed below the spans, it would make them anew for each part
     every = F.expr(f"case when {strong} then concat({', '.join(f's_{k}' for k in KINDS)}) else array() end")
     parts = spans.select("h1", "h2", F.explode(every).alias("s")).select("h1", "h2", "s.start", "s.ord", "s.end")
@@ -94,10 +114,6 @@ def _linked(rows: DataFrame) -> DataFrame:
     return parts.withColumn("shown", shown)
 
 
-def _hinted(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("hint", F.coalesce(F.col("text").rlike(HINT), F.lit(False)))
-
-
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: counts of the base kinds, digest of the base spans, and all reported spans.
 
@@ -106,17 +122,17 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind, an empty table gives no rows, other columns are ignored. A text's parts are swept in one task, in time linear
     in them; texts are searched whole.
     """
-    rows = _keyed(_hinted(docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))))
-    parts = _linked(rows.filter("hint"))
+    rows = _found(docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    parts = _linked(rows)
     names = list(KINDS)
     label = F.concat_ws(":", F.element_at(F.array(*map(F.lit, names)), F.col("ord") + 1), "start", "end")
     found = parts.groupBy("h1", "h2").agg(
         *(F.count(F.when(F.col("ord") == names.index(k), 1)).alias(f"n_{k}") for k in STRONG),
         F.sort_array(F.collect_list(F.when(F.col("shown"), F.struct("start", "ord", label.alias("label"))))).alias("found"),
     )
-    with_parts = rows.filter("hint").select("_id", "h1", "h2").join(found, ["h1", "h2"], "left")
+    with_parts = rows.filter("text is not null").select("_id", "h1", "h2").join(found, ["h1", "h2"], "left")
     none = F.array().cast(found.schema["found"].dataType)
-    every = with_parts.select("_id", *(f"n_{k}" for k in STRONG), "found").unionByName(rows.filter("not hint").select("_id", *(F.lit(None).cast("long").alias(f"n_{k}") for k in STRONG), none.alias("found")))
+    every = with_parts.select("_id", *(f"n_{k}" for k in STRONG), "found").unionByName(rows.filter("text is null").select("_id", *(F.lit(None).cast("long").alias(f"n_{k}") for k in STRONG), none.alias("found")))
     join = lambda which: F.array_join(F.transform(which, lambda s: s["label"]), ",")
     shown = F.coalesce("found", none)
     return every.select(
@@ -138,26 +154,33 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """docs with every reported span (overlapping ones as one) replaced by MARK; all columns and rows stay, and n_chars, if
     there is one, follows the text.
 
-    Only rows that may hold a strong part are shuffled. A null text stays null, as does an empty one; repeated rows are
+    Texts are shuffled only where the spans are more than SENT_SPANS, and then those alone that may hold a strong part. A null text stays null, as does an empty one; repeated rows are
     rewritten alike; an empty table stays empty. Work is linear in a text's length and in its secrets.
     """
     cols = docs.columns
-    rows = _hinted(docs.select(F.struct(*cols).alias("row"), F.col(id_col).alias("_id"), F.col(text_col).alias("text")))
-    clean = rows.filter("not hint").select("row.*")
-    hinted = _keyed(rows.filter("hint"))
+    rows = docs.select(F.struct(*cols).alias("row"), F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    at = _found(rows.select("_id", "text"))
     order = Window.partitionBy("h1", "h2").orderBy("start", "ord")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    parts = _linked(hinted).filter("shown").withColumn("fresh", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int"))
+    parts = _linked(at).filter("shown").withColumn("fresh", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int"))
     runs = parts.withColumn("run", F.sum("fresh").over(order)).groupBy("h1", "h2", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    found = runs.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("found"))
-    both = hinted.select("row", "text", "h1", "h2").join(found, ["h1", "h2"], "left")
+    found = written(runs.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("found")))
+    drop(at)
+    keyed, clean = _keyed(rows), None
+    if (found.agg(F.sum(F.size("found")).alias("n")).first()["n"] or 0) <= SENT_SPANS:
+        found = F.broadcast(found)
+    else:
+        hinted = keyed.withColumn("hint", _hint(F.col("text")))
+        keyed, clean = hinted.filter("hint"), hinted.filter("not hint").select("row.*")
+    both = keyed.select("row", "text", "h1", "h2").join(found, ["h1", "h2"], "left")
     both = both.withColumn("b", F.when(F.col("found").isNotNull(), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_CHARS}}}"), F.lit(0))))
     after = "found[size(found) - 1].end"
     new = F.expr(f"""case when found is null then text else concat(array_join(transform(found, (s, i) -> concat({_piece("case when i = 0 then 0L else found[i - 1].end end", "s.start")}, '{MARK}')), ''),
         {_piece(after, f"cast(size(b) as long) * {_CHARS}")}) end""")
     both = both.withColumn("new", new)
     fresh = {text_col: F.col("new")} | ({"n_chars": F.when(F.col("found").isNull(), F.col("row.n_chars")).otherwise(F.length("new")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in cols else {})
-    return clean.unionByName(both.select(*(fresh.get(c, F.col("row")[c]).alias(c) for c in cols)))
+    done = both.select(*(fresh.get(c, F.col("row")[c]).alias(c) for c in cols))
+    return done if clean is None else clean.unionByName(done)
 
 
 def oracle(table: str = "documents") -> str:

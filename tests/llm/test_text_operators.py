@@ -232,6 +232,16 @@ def test_many_secrets_are_rewritten(spark):
     assert len(spans) > 5000 and sorted((r.doc_id, r.text) for r in got) == [(0, want), (0, want), (1, secrets.MARK)]
 
 
+def test_rewriting_by_a_shuffle(spark, odd, monkeypatch):
+    """More spans than are sent: the same texts."""
+    df = odd.unionByName(spark.createDataFrame([(20, f"PassWord = hunter22 é {KEY} {BARE}"), (20, f"PassWord = hunter22 é {KEY} {BARE}"), (21, "the password"), (None, "a" * 30)], "doc_id long, text string"), allowMissingColumns=True)
+    plain = lambda: sorted(map(repr, secrets.redact(df).collect()))
+    sent = plain()
+    assert sum("[SECRET]" in x for x in sent) == 3
+    monkeypatch.setattr(secrets, "SENT_SPANS", 0)
+    assert plain() == sent
+
+
 def test_native_plan(spark, odd):
     for made in (secrets.secret_scan(odd), secrets.redact(odd)):
         plan = made._jdf.queryExecution().toString()
