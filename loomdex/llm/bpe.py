@@ -25,7 +25,7 @@ from . import textnum as tn
 #: The public pattern that splits text before byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens kept between batches, and the length beyond which one's rounds go by blocks of so many places.
-CACHE_WORDS, LONG_WORD, BLOCK = 300_000, 2000, 512
+CACHE_WORDS, LONG_WORD, BLOCK = 200_000, 2000, 512
 NONE = np.int64(1) << 62
 _UNKNOWN = "\ufffd".encode()
 
@@ -229,7 +229,7 @@ def bpe_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
                     schema=SCHEMA,
                 )
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(run, SPARK_SCHEMA)
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(tn.released(run), SPARK_SCHEMA)
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,7 +246,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
                 ids = [[int(x) for w in g for x in w[0].split(",")] for g in bpe.encode_many(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ids, pa.list_(pa.int32()))], schema=schema)
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(tn.released(run), "doc_id long, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -263,4 +263,4 @@ def bpe_decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
             texts = [bpe.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], schema=schema)
 
-    return encoded.selectExpr("cast(doc_id as long) doc_id", "cast(ids as array<int>) ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.selectExpr("cast(doc_id as long) doc_id", "cast(ids as array<int>) ids").mapInArrow(tn.released(run), "doc_id long, text string")

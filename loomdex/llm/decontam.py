@@ -126,7 +126,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
                                 got.append((*row, item, n, len(s), n / len(s)))
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in got], f.type) for c, f in enumerate(SCHEMA)], schema=SCHEMA)
 
-        part = rows.mapInArrow(run, SPARK_SCHEMA)
+        part = rows.mapInArrow(tn.released(run), SPARK_SCHEMA)
         out = part if out is None else out.union(part)
     return out
 
@@ -153,7 +153,7 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
                         ok[i + d] = not any(len(s & mine) >= THRESHOLD * len(s) - 1e-9 for s in (index.items[k][1] for k in found))
                 yield b.filter(pa.array(ok))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tn.released(run), docs.schema)
     return docs
 
 

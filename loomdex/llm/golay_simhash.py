@@ -187,7 +187,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for i, j, buf, at in tn.slices(b.column(3)):
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), pa.array(fingerprint_many(buf, at).view(np.int64))], schema=schema)
 
-    return with_row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", "h1", "h2", "text").mapInArrow(run, "doc_id long, h1 long, h2 long, fp long")
+    return with_row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", "h1", "h2", "text").mapInArrow(tn.released(run), "doc_id long, h1 long, h2 long, fp long")
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def _with_keys(fps: DataFrame) -> DataFrame:
             row, key = keys(fp.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(fp[row]), pa.array(key.view(np.int64))], schema=schema)
 
-    return fps.select("fp").mapInArrow(run, "fp long, key long")
+    return fps.select("fp").mapInArrow(tn.released(run), "fp long, key long")
 
 
 def links(fps: DataFrame) -> DataFrame:

@@ -197,7 +197,7 @@ def fit(labelled: DataFrame) -> Model:
                     for kind, key, m in parts:
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(np.full(len(key), k, np.int32)), pa.array(m.astype(np.int64))], schema=schema)
 
-    counts = sample.mapInArrow(count, "kind int, key long, lang int, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(tn.released(count), "kind int, key long, lang int, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
     per = counts.groupBy("kind", "key").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")).filter(F.col("all") >= MIN_COUNT)
     got = per.select("kind", "key", F.col("by.lang").alias("lang"), F.col("by.n").alias("n")).toArrow().combine_chunks()
     kinds = got.column("kind").to_numpy()
@@ -245,7 +245,7 @@ def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 ok = letter[i:j] & (share > 0)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(names[np.where(ok, best, len(m.langs))], pa.string()), pa.array(np.where(ok, share, 0.0))], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tn.released(run), "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

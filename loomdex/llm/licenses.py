@@ -133,4 +133,4 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             got = [finder.scan(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[f.name] for g in got], f.type) for f in list(SCHEMA)[1:])], schema=SCHEMA)
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(run, SPARK_SCHEMA)
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(tn.released(run), SPARK_SCHEMA)

@@ -326,7 +326,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             yield from _ask(held).to_batches()
 
     # Written before anything else reads it: chunks are numbered at random, and which documents share one depends on the task.
-    asked = written(rows.mapInArrow(ask, _ddl(_ASKED)))
+    asked = written(rows.mapInArrow(tn.released(ask), _ddl(_ASKED)))
     size = asked.agg(F.count(F.when(F.col("kind") == TEXT, 1)).alias("chunks"), F.sum(F.when(F.col("kind") == GRAM, F.octet_length("keys") / 8)).alias("keys")).first()
     cells = max(1, math.ceil(size["chunks"] / SPREAD))
     buckets = max(1, math.ceil((size["keys"] or 0) / (RANGES * BUCKET_KEYS)))

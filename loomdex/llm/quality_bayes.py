@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Evidence:
                 yield pa.RecordBatch.from_arrays([b.column(k).slice(i, j - i) for k in range(3)] + [lists], schema=schema)
 
     rows = hashed.select("h", "text").join(F.broadcast(picked), "h").select("h", "low", "toxic", "text")  # FIT_TEXTS rows of three numbers
-    got = rows.mapInArrow(featured, "h long, low int, toxic int, buckets array<int>").groupBy("h").agg(*(F.first(c).alias(c) for c in ("low", "toxic", "buckets"))).orderBy("h").toArrow().combine_chunks()
+    got = rows.mapInArrow(tn.released(featured), "h long, low int, toxic int, buckets array<int>").groupBy("h").agg(*(F.first(c).alias(c) for c in ("low", "toxic", "buckets"))).orderBy("h").toArrow().combine_chunks()
     lists = got.column("buckets").combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.chunk(0) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
@@ -197,7 +197,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, car
                     got = sent.value.of(buf, at)
                     yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(3)), *(pa.array(got[:, k]) for k in range(len(HEADS)))], names=schema.names)
 
-        return given.mapInArrow(add, schema)
+        return given.mapInArrow(tn.released(add), schema)
 
     rates = dict(zip(HEADS, evidence.rate.tolist(), strict=True))
     soft = {h: 1 / (1 + F.exp(-(F.col(f"llr_{h}") + _logit(F.lit(rates[h]))))) for h in HEADS}
