@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from contextlib import suppress
@@ -13,6 +14,11 @@ from html.parser import HTMLParser
 
 import pandas as pd
 
+try:  # comes with pandas
+    from dateutil import parser as free_dates
+except ImportError:
+    free_dates = None
+
 from .urls import normalize_url
 
 MAX_ITEMS, MAX_URL = 50, 2000
@@ -30,12 +36,22 @@ def _url(raw: str, base: str) -> str | None:
         return None
 
 
+def _free_form(raw: str, as_of: datetime) -> datetime:
+    """A date as people write it; what it leaves out is that of as_of's day, at midnight."""
+    if free_dates is None:
+        raise ValueError(raw)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # names of zones that it doesn't know
+        return free_dates.parse(raw, default=as_of.replace(hour=0, minute=0, second=0, microsecond=0, tzinfo=None))
+
+
 def _stamp(raw: str | None, as_of: datetime) -> datetime | None:
-    """ISO-8601 or RFC 2822 date, UTC if it names no zone; none if bad or after as_of."""
-    for read in (datetime.fromisoformat, parsedate_to_datetime):
+    """ISO-8601 or free-form date (RFC 2822, where no free-form parser is installed), UTC if it names no zone; none if bad or after as_of."""
+    raw = (raw or "").strip()
+    for read in (datetime.fromisoformat, lambda r: _free_form(r, as_of), parsedate_to_datetime) if raw else ():
         try:
-            got = read((raw or "").strip())
-        except (ValueError, TypeError):
+            got = read(raw)
+        except (ValueError, TypeError, OverflowError):
             continue
         got = got.replace(tzinfo=timezone.utc) if got.tzinfo is None else got.astimezone(timezone.utc)
         return got.replace(tzinfo=None) if got <= as_of else None

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from . import spelling, text, urls
+from . import markup, spelling, text, urls
 
 
 def all_deletes(word: str, most: int = 2) -> set[str]:
@@ -28,8 +29,10 @@ class Deletes:
             yield (cut,)
 
 
-def register(spark: SparkSession) -> None:
-    """stem(term), osa_distance(a, b), normalize_url(url) and the table function generate_deletes(word)."""
+def register(spark: SparkSession, as_of: datetime | None = None) -> None:
+    """stem(term), osa_distance(a, b), normalize_url(url), parse_html(url, html), which gives a struct without dates after as_of
+    (now, if not given), and the table function generate_deletes(word)."""
+    spark.udf.register("parse_html", markup.page_parser(as_of or datetime.now(timezone.utc)))
     spark.udf.register("stem", text.stem_udf)
     spark.udf.register("osa_distance", spelling.osa_udf)
     spark.udf.register("normalize_url", urls.normalize_url_udf)

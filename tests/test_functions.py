@@ -1,5 +1,5 @@
 import re
-from datetime import datetime
+from datetime import datetime, timezone
 
 import pytest
 from hypothesis import given, settings
@@ -145,3 +145,22 @@ def test_roles():
 def test_stop_words():
     assert len(set(text.STOP_WORDS)) == 33
     assert re.fullmatch(text.SPELL_WORD, "ab")
+
+
+def test_free_form_dates():
+    from loomdex.functions.markup import _stamp
+
+    as_of = datetime(2025, 6, 1, 12, tzinfo=timezone.utc)
+    assert _stamp("March 5, 2024 10:30 PM", as_of) == datetime(2024, 3, 5, 22, 30)
+    assert _stamp("5 Mar 2024 10:00 +0200", as_of) == datetime(2024, 3, 5, 8)
+    assert _stamp("2024/03/05", as_of) == datetime(2024, 3, 5)
+    assert _stamp("May 2025", as_of) == datetime(2025, 5, 1)
+    assert [_stamp(x, as_of) for x in (None, "", "soon", "March 5, 2031", "99999999999999999999")] == [None] * 5
+
+
+def test_registered_parser(spark):
+    from loomdex.functions.register import register
+
+    register(spark)
+    row = spark.sql("select parse_html('https://a.example.org/', '<title> T </title><a href=\"/x\">x</a><p>body</p>') p").first().p
+    assert (row.title, row.links, row.content) == ("T", ["https://a.example.org/x"], "x body")
