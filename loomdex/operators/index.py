@@ -37,6 +37,12 @@ def tokens(web: DataFrame, news: DataFrame) -> DataFrame:
     return w.unionByName(n)
 
 
+def news_layout(token_rows: DataFrame) -> DataFrame:
+    """The news rows of a token table in a layout of their own: (article_url, term, frequency), one row for each article's term."""
+    n = token_rows.filter((F.col("source_type") == NEWS) & F.col("article_url").isNotNull())
+    return n.groupBy("article_url", "term").agg(F.max("frequency").alias("frequency"))
+
+
 def term_statistics(token_rows: DataFrame, docs: DataFrame) -> DataFrame:
     """(term, doc_frequency, idf, avg_doc_len). Only doc_id counts, so a term of news alone has frequency 0."""
     size = docs.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"), F.coalesce(F.avg("word_count"), F.lit(0.0)).alias("avg_doc_len"))

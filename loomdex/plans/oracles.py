@@ -280,5 +280,7 @@ ORACLES = {
       select regexp_replace(string_agg('[' || r.url || '](' || r.title || ')' || chr(10) || r.description || chr(10) || chr(10), '' order by score desc, r.url), '^\\s+|\\s+$', '', 'g') as text from r""",
     "migration_token_backfill": f"""with {WEB}, {NEWS}, {POSTINGS}, {NEWS_POSTINGS}
       select 1 source_type, field, count(*) n, sum(frequency)::bigint tokens, count(*) with_doc from postings group by field union all select 2, 4, count(*), sum(frequency)::bigint, 0 from news_postings""",
+    "migration_downgrade": f"with {NEWS}, {NEWS_POSTINGS} select article_url, count(*) terms, sum(frequency)::bigint tokens from news_postings group by 1",
+    "image_base64": "select page_id, md5(case when page_id % 9 = 0 then '' else base64(encode(coalesce(html, ''))) end) image_md5 from pages",
 }
 ORACLES["token_statistics"] = ORACLES["term_statistics"]

@@ -428,6 +428,18 @@ def migration_token_backfill(s, d):
     return t.groupBy(F.col("source_type").cast("int").alias("source_type"), F.col("field").cast("int").alias("field")).agg(F.count("*").alias("n"), F.sum("frequency").alias("tokens"), F.count("doc_id").alias("with_doc"))
 
 
+def migration_downgrade(s, d):
+    """The joint token table back in the old layout of news, by article."""
+    t = index.tokens(index.web_postings(tables.web(s, d)), index.news_postings(tables.articles(s, d)))
+    return index.news_layout(t).groupBy("article_url").agg(F.count("*").alias("terms"), F.sum("frequency").alias("tokens"))
+
+
+def image_base64(s, d):
+    """Bytes of every page as an image's would be handed out; every ninth is missing."""
+    body = F.when(F.col("page_id") % 9 != 0, F.encode("html", "utf-8"))
+    return tables.table(s, d, "pages").select("page_id", F.md5(files.image_text(body)).alias("image_md5"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -439,6 +451,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         page_links, page_status_routing, quality_freshness, queue_enqueue, queue_dequeue, queue_status_counts,
         rate_limit_slots, feeds_due, shard_assignment, feed_shards, upsert_documents, upsert_articles, upsert_feeds,
         backfill_content, replace_news_tokens, rss_parse, rfc2822_dates, feed_times, replace_web_tokens, replace_links, authority_upsert, page_feed_links,
-        page_content, format_text_results, migration_token_backfill,
+        page_content, format_text_results, migration_token_backfill, migration_downgrade, image_base64,
     )
 }

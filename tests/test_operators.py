@@ -244,3 +244,72 @@ def test_backfill_needs_words(spark):
 def test_due_order(spark):
     f = spark.createDataFrame([("a", datetime(2025, 5, 1), None), ("b", None, None), ("c", datetime(2026, 1, 1), None)], "feed_url string, next_fetch_at timestamp, last_fetched timestamp")
     assert [r.feed_url for r in queue.due(f, F.lit(AS_OF)).collect()] == ["b", "a"]
+
+
+def test_lines_over_many_blocks(spark, tmp_path):
+    lines = [f"w{i}" if i % 7 else " \t" for i in range(3000)]
+    (tmp_path / "w.txt").write_bytes(b"\r\n".join(x.encode() for x in lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert spark.read.text(f"file://{tmp_path}/w.txt").rdd.getNumPartitions() > 1
+        got = [tuple(r) for r in files.text_lines(spark, f"file://{tmp_path}/w.txt").orderBy("rank").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(x, i) for i, x in enumerate((x for x in lines if x.strip()), 1)]
+
+
+def test_lexicon_is_read_again_when_written(spark, tmp_path):
+    lex = spark.createDataFrame([("a", 0, 1, 0, 1.0), ("b", 0, 2, 0, 2.0)], files.LEXICON)
+    cache = files.LexiconCache(spark, f"file://{tmp_path}/lex")
+    assert cache.words().count() == 0
+    files.write_lexicon(lex, f"file://{tmp_path}/lex", 1)
+    first = cache.words()
+    assert [r.word for r in first.collect()] == ["b"] and cache.words() is first
+    files.write_lexicon(lex, f"file://{tmp_path}/lex")
+    assert cache.words().count() == 2
+
+
+def test_crawl_sink(spark, tmp_path):
+    """Two micro-batches: a page, its later fetch, an invalid page, a feed, and a replay of the last batch."""
+    html = "<html><head><title>{0}</title><meta name='description' content='d'><link rel='alternate' type='application/rss+xml' href='/rss.xml'></head><body><p>{1}</p><a href='https://b.example.org/x'>x</a></body></html>"
+    long, short = "alpha beta " * 80, "gamma"
+    page = lambda i, url, title, body: (i, url, 200, "text/html", html.format(title, body))
+    a, b, feed, gone = "https://a.example.org/", "https://a.example.org/b", "https://a.example.org/atom", "https://a.example.org/gone"
+    batches = [
+        [page(1, a, "old", long), page(2, a, "new", long), page(3, b, "b", short)],
+        [(4, feed, 200, "application/atom+xml", "<feed/>"), (5, gone, 404, "text/html", ""), page(6, b, "b", "delta " * 130), page(7, a, "newest", "delta " * 130)],
+    ]
+    doc = "id long, url string, canonical_url string, title string, description string, content string, published_at timestamp, updated_at timestamp, word_count int, quality_score double, freshness_score double, status string, created_at timestamp"
+    none = lambda schema: spark.createDataFrame([], schema)
+    tokens = index.tokens(index.web_postings(none(doc)), index.news_postings(spark.createDataFrame([("n", "kept", "", "")], "url string, title string, description string, content string")))
+    given = {
+        "documents": spark.createDataFrame([(41, "https://z.example.org/", "c", "z", "z", "z", None, None, 1, 0.0, 0.0, "done", None)], doc),
+        "tokens": tokens, "outgoing": none("source_doc_id long, target_url string"),
+        "feeds": none("feed_url string, home_url string, discovered_by_url string"),
+        "articles": spark.createDataFrame([(b, None), (a, "own")], "url string, content string"),
+        "queue": queue.enqueue(queue.empty_queue(spark), spark.createDataFrame([(u, "example.org") for u in (a, b, feed, gone)], "url string, domain string")),
+    }
+    cycle = Cycle(spark, f"file://{tmp_path}/tables", given)
+    sink = ingest.crawl_sink(cycle, AS_OF)
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, ingest.FETCHED).coalesce(1).write.parquet(f"{tmp_path}/in{i}")
+        q = ingest.ingest(spark, f"file://{tmp_path}/in{i}", AS_OF, sink, f"file://{tmp_path}/ck{i}")
+        q.awaitTermination()
+        if i == 0:
+            assert {r.url: (r.id, r.title) for r in cycle.read("documents").collect()} == {"https://z.example.org/": (41, "z"), a: (42, "new")}
+
+    def state():
+        read = lambda name, *cols: sorted(map(tuple, cycle.read(name).select(*cols).collect()), key=repr)
+        return read("documents", "id", "url", "title", "created_at"), read("tokens", "doc_id", "term", "field", "frequency", "article_url"), read("outgoing", "*"), read("feeds", "*"), read("articles", "*"), read("queue", "url", "status")
+
+    after = state()
+    docs, terms, links, feeds, articles, todo = after
+    assert [r[:3] for r in docs] == [(41, "https://z.example.org/", "z"), (42, a, "newest"), (43, b, "b")]
+    mine = {r[1:4] for r in terms if r[0] == 42}
+    assert {("newest", 1, 1), ("delta", 4, 130)} <= mine and not {t for t, _, _ in mine} & {"alpha", "beta", "new", "old"} and any(r[4] == "n" and r[1] == "kept" for r in terms)
+    assert links == [(42, "https://b.example.org/x"), (43, "https://b.example.org/x")]
+    assert sorted(feeds) == sorted([("https://a.example.org/rss.xml", a, a), (feed, feed, feed)])
+    assert dict(articles)[a] == "own" and dict(articles)[b].startswith("delta")
+    assert dict(todo) == {a: "done", b: "done", feed: "done", gone: "non_success_status_error", "https://b.example.org/x": "queued"}
+    sink(ingest.parsed(spark.createDataFrame(batches[1], ingest.FETCHED), AS_OF), 1)
+    assert state() == after
